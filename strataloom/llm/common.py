@@ -83,3 +83,41 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def _signature(edges: DataFrame) -> tuple:
     h = F.xxhash64("u", "v")
     return tuple(edges.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
+
+
+def vector_sum(df: DataFrame, part, size: int, blocks: int = 32):
+    """Sum of one float64 vector of a fixed size per task, reduced on the executors block by block.
+
+    part maps an iterator of Arrow batches to one numpy vector; only the sum, of fixed size, comes to the
+    driver. Partial sums are added in the order of their partitions, so reruns over the same files agree.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    step = -(-size // blocks)
+
+    def emit(batches):
+        v = part(batches)
+        if v is None:
+            return
+        at = TaskContext.get().partitionId()
+        cut = [v[i : i + step].tobytes() for i in range(0, size, step)]
+        yield pa.record_batch(
+            [pa.array(range(len(cut)), pa.int32()), pa.array([at] * len(cut), pa.int32()), pa.array(cut, pa.binary())],
+            names=["block", "at", "v"])
+
+    def add(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["at"].to_numpy())
+        parts = t["v"].to_pylist()
+        total = np.zeros(len(parts[0]) // 8)
+        for i in order:
+            total += np.frombuffer(parts[i])
+        return pa.table({"block": t["block"][:1], "v": pa.array([total.tobytes()], pa.binary())})
+
+    rows = df.mapInArrow(emit, "block int, at int, v binary").groupBy("block").applyInArrow(add, "block int, v binary").collect()
+    out = np.zeros(size)
+    for r in rows:
+        v = np.frombuffer(r["v"])
+        out[r["block"] * step : r["block"] * step + len(v)] = v
+    return out

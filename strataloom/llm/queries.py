@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import exact_dedup as exact
 from strataloom.llm import mixing
+from strataloom.llm import toxicity as tox
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tox.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select(
+        "doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score", "n_offending")
+
+
 QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: A-Z to a-z only, as the operators lower-case.

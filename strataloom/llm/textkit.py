@@ -64,11 +64,14 @@ def byte_slices(col: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator
         i = j
 
 
-def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of some texts, and for each text the index of its first word."""
+def word_bounds(buf: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of some texts, and for each text the index of its first word.
+
+    apart: which bytes separate words; white space by default.
+    """
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
-    solid = ~SPACE[buf]
+    solid = ~apart[buf]
     start, end = solid.copy(), solid.copy()
     start[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
