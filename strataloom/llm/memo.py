@@ -1,0 +1,26 @@
+"""A bounded memo for per-word work inside Python workers."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class Memo(dict):
+    """word -> make(word), of two generations: when the young one is full it becomes the old one.
+
+    Words that keep coming are carried over; at most 2 * most entries are held.
+    """
+
+    def __init__(self, make: Callable, most: int = 400_000):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, word):
+        got = self.old.get(word)
+        if got is None:
+            got = self.make(word)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = got
+        return got
