@@ -121,3 +121,22 @@ def vector_sum(df: DataFrame, part, size: int, blocks: int = 32):
         v = np.frombuffer(r["v"])
         out[r["block"] * step : r["block"] * step + len(v)] = v
     return out
+
+
+def forest(n: int, x, y):
+    """For n nodes and edges x[i] - y[i]: for each node the smallest node of its component (numpy)."""
+    import numpy as np
+
+    label = np.arange(n)
+    while len(x):
+        low = np.minimum(label[x], label[y])
+        nxt = label.copy()
+        np.minimum.at(nxt, x, low)
+        np.minimum.at(nxt, y, low)
+        np.minimum.at(nxt, label[x], low)
+        np.minimum.at(nxt, label[y], low)
+        nxt = nxt[nxt]
+        if (nxt == label).all():
+            break
+        label = nxt
+    return label

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm import exact_dedup as exact
-from strataloom.llm import mixing
+from strataloom.llm import mixing, pieces, set_join
 from strataloom.llm import token_store
 from strataloom.llm import toxicity as tox
 from strataloom.llm.common import fresh_path
@@ -29,6 +29,16 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_ids(spark, path, digest=True)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return pieces.decode(encoded, model, digest=True)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -41,7 +51,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_token_ids": op5_token_ids,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
 }
