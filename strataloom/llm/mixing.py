@@ -23,7 +23,7 @@ from strataloom.llm.common import drop_written, written
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
 WEIGHTS = (1, 2, 3)
-BINS = 1 << 16
+BINS = 1 << 12
 TOLERANCE = 1e-9
 MAX_STEPS = 60
 
