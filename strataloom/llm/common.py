@@ -140,3 +140,33 @@ def forest(n: int, x, y):
             break
         label = nxt
     return label
+
+
+TILE = ("g", "a", "h", "b")
+
+
+def band_tiles(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Tiles in which every two rows of one group meet exactly once if their bands are equal or neighbours.
+
+    rows: keys, an int column band, a long column k, and more. The rows of a band are dealt by a hash of k
+    over blocks of about most rows, and blocks meet in pairs; so a group of any size is spread over many tiles.
+    Adds g, a, h, b (the bands and blocks that meet) and side, 0 or 1: where a tile has both sides only rows of
+    different sides are to be compared. rows is read twice and should be a written table.
+    """
+    bands = written(rows.groupBy(*keys, "band").agg(F.ceil(F.count("*") / most).alias("blocks")), "bands")
+    up, down = (bands.select(*keys, (F.col("band") - d).alias("band"), F.col("blocks").alias(n)) for d, n in ((1, "above"), (-1, "below")))
+    bands = bands.join(up, [*keys, "band"], "left").join(down, [*keys, "band"], "left").fillna(0)
+    rows = rows.join(bands, [*keys, "band"]).withColumn("block", F.pmod(F.xxhash64("k", F.lit(5)), F.col("blocks")))
+
+    def meet(count, make):
+        none = F.array().cast("array<struct<g:int,a:bigint,h:int,b:bigint,side:int>>")
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), make)).otherwise(none)
+
+    def tile(g, a, h, b, side):
+        return F.struct(g.alias("g"), a.alias("a"), h.alias("h"), b.alias("b"), side.cast("int").alias("side"))
+
+    g, a = F.col("band"), F.col("block")
+    same = meet("blocks", lambda o: tile(g, F.least(a, o), g, F.greatest(a, o), a > o))
+    above = meet("above", lambda o: tile(g, a, g + 1, o, F.lit(0)))
+    below = meet("below", lambda o: tile(g - 1, o, g, a, F.lit(1)))
+    return rows.withColumn("t", F.explode(F.concat(same, above, below))).select("*", "t.*").drop("t", "blocks", "above", "below", "block")

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.llm import embedding_dedup
 from strataloom.llm import exact_dedup as exact
 from strataloom.llm import mixing, pieces, set_join
 from strataloom.llm import token_store
@@ -29,6 +30,10 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_ids(spark, path, digest=True)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,6 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_source_mix": op2_source_mix,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_token_ids": op5_token_ids,
     "op7_sentencepiece": op7_sentencepiece,
