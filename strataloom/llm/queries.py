@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import embedding_dedup
 from strataloom.llm import exact_dedup as exact
-from strataloom.llm import mixing, pieces, set_join
+from strataloom.llm import language_model, mixing, pieces, set_join
 from strataloom.llm import token_store
 from strataloom.llm import toxicity as tox
 from strataloom.llm.common import fresh_path
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken", "rate", "copies")
@@ -55,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_source_mix": op2_source_mix,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_jaccard_join": op4_jaccard_join,
