@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import embedding_dedup
 from strataloom.llm import exact_dedup as exact
-from strataloom.llm import language_model, mixing, pieces, set_join
+from strataloom.llm import html_text, language_model, mixing, pieces, set_join
 from strataloom.llm import token_store
 from strataloom.llm import toxicity as tox
 from strataloom.llm.common import fresh_path
@@ -42,6 +42,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_token_ids": op5_token_ids,
+    "op6_html_text": op6_html_text,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_toxicity": op10_toxicity,
