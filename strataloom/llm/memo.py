@@ -19,8 +19,15 @@ class Memo(dict):
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
+        self.put(word, got)
+        return got
+
+    def put(self, word, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
-        self[word] = got
-        return got
+        self[word] = value
+
+    def unknown(self, words) -> list:
+        """Those of some distinct words that are not held."""
+        return [w for w in words if w not in self and w not in self.old]

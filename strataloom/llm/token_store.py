@@ -159,14 +159,25 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
 
 
 _tokenizers: dict[str, TextIds] = {}
+#: White space that the library must see in its surroundings.
 ODD = re.compile(r" \s| $")
+TRAIL = re.compile(r"(.*[^\W\d_])([.,;:!?]+)", re.S)
+NEWLINE_BREAK = "\n"
+
+
+def plain_lines(text: str) -> bool:
+    """Whether all white space of a text is single spaces and line ends between words."""
+    words = text.split()
+    return len("".join(words)) + len(words) - 1 == len(text) and text.count(" ") + text.count("\n") == len(words) - 1
 
 
 class TextIds:
     """Ids of whole texts by the tokenizers library, word by word.
 
-    The byte-level pre-tokeniser always starts a new piece at a space that a non-space follows, so texts are
-    cut there and the ids of each word are remembered; texts with other runs of white space around a space
+    The byte-level pre-tokeniser always starts a new piece at a space that a non-space follows, at a line end
+    between two non-spaces and after it, and between a letter and a run of punctuation that ends a word. So
+    texts are cut there, and the ids of each part are remembered; unknown parts are encoded many at a time, a
+    line each, and told apart by the id of the line end. Texts with other runs of white space around a space
     go to the library whole.
     """
 
@@ -177,7 +188,8 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.first, self.rest = Memo(self.whole, 50_000), Memo(lambda w: self.whole(" " + w))
+        self.first, self.rest = Memo(self.whole, 60_000), Memo(lambda w: self.whole(" " + w), 600_000)
+        self.newline = self.whole(NEWLINE_BREAK)
 
     @classmethod
     def of(cls, path: str) -> TextIds:
@@ -188,11 +200,50 @@ class TextIds:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, memo: Memo, words: set[str], prefix: str) -> None:
+        """Put the ids of distinct words, each after the prefix, into the memo."""
+        split = {w: m.groups() for w in memo.unknown(words) if (m := TRAIL.fullmatch(w))}
+        cores = memo.unknown(({c for c, _ in split.values()} | (words - split.keys())) - {""})
+        plain = [w for w in cores if "\n" not in w and w[0] > " "]
+        if plain:
+            ids = np.array(self.library.encode_batch_fast(["\n".join([prefix + w for w in plain])], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]), len(ids))
+            if len(ends) == len(plain):
+                raw, at = ids.tobytes(), 0
+                for w, e in zip(plain, ends.tolist()):
+                    memo.put(w, raw[4 * at : 4 * e])
+                    at = e + 1
+        for w, (core, marks) in split.items():
+            memo.put(w, memo[core] + self.first[marks])
+
+    def all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of some texts as little-endian 32-bit numbers; none for a null text."""
+        cut: list[list[list[str]] | bytes] = []
+        heads, words = set(), set()
+        for t in texts:
+            if t and plain_lines(t):
+                lines = [x.split(" ") for x in t.split("\n")]
+            elif t and not ODD.search(t):
+                lines = [t.split(" ")]
+            else:
+                cut.append(self.whole(t) if t else b"")
+                continue
+            cut.append(lines)
+            for line in lines:
+                heads.add(line[0])
+                words.update(line[1:])
+        self.learn(self.first, heads, "")
+        self.learn(self.rest, words, " ")
+        out = []
+        for c in cut:
+            if isinstance(c, list):
+                rest = self.rest.__getitem__
+                c = self.newline.join([self.first[x[0]] + b"".join(map(rest, x[1:])) for x in c])
+            out.append(c)
+        return out
+
     def __call__(self, text: str) -> bytes:
-        if ODD.search(text):
-            return self.whole(text)
-        head, *tail = text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
+        return self.all([text])[0]
 
 
 def _segment(part: int, number: int, before: int, docs: list[int], raws: list[bytes]) -> dict:
@@ -229,14 +280,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         encode, part = TextIds.of(tokenizer), TaskContext.get().partitionId()
         ids, raws, held, before, number = [], [], 0, 0, 0
         for b in batches:
-            for k, text in zip(b.column("id").to_pylist(), b.column("text")):
-                text = text.as_py()
-                ids.append(k)
-                raws.append((encode(text) if text else b"") + tail)
-                held += len(raws[-1]) // 4
-                if held >= SEGMENT_IDS:
-                    yield pa.RecordBatch.from_pylist([_segment(part, number, before, ids, raws)], ARROW)
-                    ids, raws, before, number, held = [], [], before + held, number + 1, 0
+            for i in range(0, b.num_rows, 1024):
+                some = b.slice(i, 1024)
+                for k, raw in zip(some.column("id").to_pylist(), encode.all(some.column("text").to_pylist())):
+                    ids.append(k)
+                    raws.append(raw + tail)
+                    held += len(raws[-1]) // 4
+                    if held >= SEGMENT_IDS:
+                        yield pa.RecordBatch.from_pylist([_segment(part, number, before, ids, raws)], ARROW)
+                        ids, raws, before, number, held = [], [], before + held, number + 1, 0
         if ids:
             yield pa.RecordBatch.from_pylist([_segment(part, number, before, ids, raws)], ARROW)
 
@@ -249,7 +301,8 @@ def _blocks(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.schema(SCHEMA).parquet(path)
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return segments.join(parts.select("part", base.alias("base")), "part").select(
+    # parts are the range partitions of the writing job: 16 bytes each, as many as that job had tasks
+    return segments.join(F.broadcast(parts.select("part", base.alias("base"))), "part").select(
         (F.col("base") + F.col("before")).alias("start"), "coding", F.col("blocks"))
 
 
