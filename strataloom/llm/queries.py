@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import embedding_dedup
 from strataloom.llm import exact_dedup as exact
-from strataloom.llm import html_text, language_model, mixing, pieces, set_join
+from strataloom.llm import html_text, language_model, mixing, pieces, set_join, suffix_dedup
 from strataloom.llm import token_store
 from strataloom.llm import toxicity as tox
 from strataloom.llm.common import fresh_path
@@ -56,6 +56,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tox.toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select(
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_html_text": op6_html_text,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
