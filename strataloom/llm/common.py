@@ -44,6 +44,15 @@ def drop_written(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A side of at most so many rows of a few numbers, some 32 MB, may be sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """A written table of narrow rows, with a broadcast hint if its row count allows; else it is shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star steps.
 
