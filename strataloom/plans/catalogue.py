@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from strataloom.plans import events
+
+QUERIES = {**events.QUERIES}
+ORACLE = {**events.ORACLE}
