@@ -71,15 +71,19 @@ def matches(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Colum
     offsets. The pattern must not match the empty string.
     """
     p = F.lit(pattern)
-    whole, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    parts = [F.regexp_extract_all(text, p, F.lit(g)) for g in groups]
+    parts = [F.regexp_extract_all(text, p, F.lit(g)).alias(f"g{k}") for k, g in enumerate(groups)]
+    # one struct in an array binds the extracted arrays, so that they are computed once per text
+    bound = F.array(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.split(text, pattern, -1).alias("gaps"), *parts))
 
-    def at(i: Column) -> Column:
-        before = F.aggregate(F.slice(whole, 1, i), F.lit(0), lambda n, x: n + F.char_length(x))
-        return F.aggregate(F.slice(gaps, 1, i + 1), before, lambda n, x: n + F.char_length(x))
+    def of(b: Column) -> Column:
+        def at(i: Column) -> Column:
+            before = F.aggregate(F.slice(b["whole"], 1, i), F.lit(0), lambda n, x: n + F.char_length(x))
+            return F.aggregate(F.slice(b["gaps"], 1, i + 1), before, lambda n, x: n + F.char_length(x))
 
-    return F.transform(
-        whole, lambda _, i: F.struct(at(i).alias("offset"), *[F.element_at(g, i + 1).alias(f"g{k}") for k, g in enumerate(parts)]))
+        return F.transform(
+            b["whole"], lambda _, i: F.struct(at(i).alias("offset"), *[F.element_at(b[f"g{k}"], i + 1).alias(f"g{k}") for k in range(len(groups))]))
+
+    return F.element_at(F.transform(bound, of), 1)
 
 
 def masked(digits: Column, low: int = 1, high: int = 365) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.plans import events
+from strataloom.plans import documents, events, star
 
-QUERIES = {**events.QUERIES}
-ORACLE = {**events.ORACLE}
+QUERIES = {**events.QUERIES, **documents.QUERIES, **star.QUERIES}
+ORACLE = {**events.ORACLE, **documents.ORACLE, **star.ORACLE}
