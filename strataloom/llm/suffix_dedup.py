@@ -36,7 +36,7 @@ SPAN = LENGTH - GRAM + 1  # strings per anchor at most
 #: Layout of a suffix key: the right part and its length, the left part backwards and its length, the number
 #: of strings; padded to whole words.
 LEFT, N_LEFT, N_STRINGS, KEY = LENGTH + 1, LENGTH + SPAN, LENGTH + SPAN + 1, 8 * -(-(LENGTH + SPAN + 2) // 8)
-RUN_BYTES = 1 << 23
+RUN_BYTES = 1 << 22
 KEYS_PER_REDUCER = 60_000
 ANCHORS_PER_BUCKET = 1_000_000
 
@@ -280,7 +280,10 @@ def _runs(n_buckets: int, n_reducers: int):
         ids = np.array([r[0] for r in rows], np.int64)
         buf = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
         offs = np.cumsum([0, *(len(r[1]) for r in rows)])
-        doc, start, strings, at, h = anchors(buf, offs)
+        found = [
+            tuple(c + x for c, x in zip(anchors(b, o), (i, offs[i], 0, offs[i], np.uint64(0))))
+            for i, _, b, o in tk.byte_slices(pa.array([r[1] for r in rows], pa.large_binary()))]
+        doc, start, strings, at, h = (np.concatenate(c) for c in zip(*found))
         bucket, rest = (h % np.uint64(n_buckets)).astype(np.uint64), h // np.uint64(n_buckets) & np.uint64(0xFFFFFFFF)
         want = np.concatenate([np.uint64(s["bucket"]) << np.uint64(32) | np.frombuffer(s["hashes"], np.uint32) for r in rows for s in r[2]])
         keep = np.flatnonzero(np.isin(bucket << np.uint64(32) | rest, want))
@@ -331,7 +334,7 @@ def _removed(batches):
             offs = np.cumsum([0, *map(len, texts)])
             buf = np.frombuffer(b"".join(texts), np.uint8)
             number, doc, at = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in (("member_key", np.int32), ("member_doc", np.int32), ("member_at", np.int64)))
-            step = np.zeros(len(buf) + 1, np.int64)
+            step = np.zeros(len(buf) + 1, np.int32)
             for a in b.column("answers")[k].as_py() or []:
                 key, first, last, low = (np.frombuffer(a[c], t) for c, t in (("number", np.int32), ("first", np.uint8), ("last", np.uint8), ("low", np.int64)))
                 lo, hi = np.searchsorted(number, key), np.searchsorted(number, key, side="right")
@@ -341,7 +344,7 @@ def _removed(batches):
                 member, each = member[later], each[later]
                 np.add.at(step, at[member] - last[each], 1)
                 np.add.at(step, at[member] - first[each] + LENGTH, -1)
-            gone = np.cumsum(step[:-1]) > 0
+            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
             begins = gone.copy()
             begins[1:] &= ~gone[:-1]
             inner = offs[:-1][np.diff(offs) > 0]
