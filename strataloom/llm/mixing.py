@@ -151,6 +151,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it has copies. Repeated ids must hold equal rows."""
-    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("_id"), "copies").distinct()
+    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("_id"), F.col("copies").cast("int").alias("_copies")).distinct()
     joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
