@@ -256,7 +256,7 @@ def _answer(t: pa.Table) -> pa.Table:
     new = np.ones(len(own), dtype=bool)
     new[1:] = (own[1:] != own[:-1]) | (r[1:] != r[:-1] + 1) | (low[1:] != low[:-1])
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(own)) - 1
+    tail = (np.append(head[1:], len(own)) - 1)[: len(head)]
     own, first, last, low = own[head], r[head], r[tail], low[head]
     order = np.argsort(run[own], kind="stable")
     own, first, last, low = own[order], first[order], last[order], low[order]
