@@ -31,7 +31,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a table in the shared folder: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +53,10 @@ def sent_if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+#: A side of wide rows may be sent if all its bytes are at most so many.
+BROADCAST_BYTES = 64 << 20
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star steps.
 

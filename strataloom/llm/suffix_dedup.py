@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import textkit as tk
-from strataloom.llm.common import written
+from strataloom.llm.common import BROADCAST_BYTES, written
 
 LENGTH = 50
 GRAM = 16
@@ -38,7 +38,7 @@ SPAN = LENGTH - GRAM + 1  # strings per anchor at most
 LEFT, N_LEFT, N_STRINGS, KEY = LENGTH + 1, LENGTH + SPAN, LENGTH + SPAN + 1, 8 * -(-(LENGTH + SPAN + 2) // 8)
 RUN_BYTES = 1 << 22
 KEYS_PER_REDUCER = 60_000
-ANCHORS_PER_BUCKET = 1_000_000
+ANCHORS_PER_BUCKET = 4_000_000
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -366,37 +366,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     sized = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_buckets = max(16, int(2 * sized / (SPAN + 1) / ANCHORS_PER_BUCKET) + 1)
-    digests = rows.where(f"octet_length(text) >= {LENGTH} and id is not null").select("id", F.sha2("text", 256).alias("sha"))
-    digests = written(digests, "repeats-digests")
-    firsts = digests.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = digests.join(firsts, "sha").where("id > first").groupBy("id").agg(F.collect_set("sha").alias("copies"))
+    digests = written(rows.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "repeats-digests")
+    long = digests.where(f"n_bytes >= {LENGTH} and id is not null")
+    firsts = long.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    copies = long.join(firsts, "sha").where("id > first").groupBy("id").agg(F.collect_set("sha").alias("copies"))
     shared = rows.where("id is not null").mapInArrow(_bucket_rows(n_buckets), "bucket int, ids binary, owner binary, hashes binary")
     shared = shared.groupBy("bucket").applyInArrow(_shared, "id long, bucket int, hashes binary")
     shared = shared.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared"))
-    shared = written(shared, "repeats-shared")
-    n_shared = shared.agg(F.sum(F.expr("aggregate(shared, 0L, (n, s) -> n + length(s.hashes))")).alias("n")).first()["n"] or 0
+    info = written(shared.join(copies, "id", "full"), "repeats-info")
+    n_shared = info.agg(F.sum(F.expr("aggregate(shared, 0L, (n, s) -> n + length(s.hashes))")).alias("n")).first()["n"] or 0
     n_reducers = max(12, n_shared // 4 // KEYS_PER_REDUCER + 1)
     # whole copies go; texts that share no anchor stay; the others make up the runs
-    info = written(shared.join(copies, "id", "full"), "repeats-info")
-    held = rows.withColumn("sha", F.sha2("text", 256)).join(info, "id", "left")
-    held = held.withColumn("copy", F.coalesce(F.array_contains("copies", F.col("sha")), F.lit(False)))
-    held = held.withColumn("has", F.col("shared").isNotNull())
-    state = held.select(
-        "id", "copy", "sha", F.octet_length("text").cast("long").alias("n_bytes"), "has",
-        F.when(~F.col("copy") & F.col("has") if not keep_text else ~F.col("copy"), F.col("text")).alias("text"), "shared")
-    state = written(state, "repeats-state")
-    runs = state.where("not copy and has").select("id", "text", "shared").mapInArrow(_runs(n_buckets, n_reducers), RUNS)
-    runs = written(runs, "repeats-runs")
+    copy = F.coalesce(F.array_contains("copies", F.col("sha")), F.lit(False))
+    held = rows.join(info, "id").where("shared is not null").withColumn("sha", F.sha2("text", 256)).where(~copy)
+    runs = written(held.select("id", "text", "shared").mapInArrow(_runs(n_buckets, n_reducers), RUNS), "repeats-runs")
     parts = runs.select("run", F.explode("parts").alias("p")).select("run", "p.*")
     answers = parts.groupBy("reducer").applyInArrow(_answer, "run long, number binary, first binary, last binary, low binary")
-    answers = written(answers, "repeats-answers").groupBy("run").agg(F.collect_list(F.struct("number", "first", "last", "low")).alias("answers"))
-    cut = runs.drop("parts").join(answers, "run", "left").mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    answers = written(answers, "repeats-answers")
+    size = answers.agg(F.sum(F.length("low")).alias("n")).first()["n"] or 0  # the largest of four columns
+    answers = answers.groupBy("run").agg(F.collect_list(F.struct("number", "first", "last", "low")).alias("answers"))
+    cut = runs.drop("parts").join(F.broadcast(answers) if 2 * size <= BROADCAST_BYTES else answers, "run", "left")
+    cut = cut.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cut = cut.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if keep_text else []))
+    same = digests.join(info.select("id", "copies", F.col("shared").isNotNull().alias("has")), "id", "left").withColumn("copy", copy)
+    same = same.where(F.col("copy") | ~F.coalesce("has", F.lit(False)))
+    if keep_text:
+        texts = rows.select(F.col("id").alias("_id"), F.col("text").alias("kept"), F.sha2("text", 256).alias("_sha")).distinct()
+        same = same.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
     nothing = F.lit(0).cast("long")
-    same = state.where("copy or not has").select(
+    same = same.select(
         "id", "n_bytes", F.when(F.col("copy"), F.col("n_bytes")).otherwise(nothing).alias("n_removed"),
         F.when(F.col("copy"), 1).otherwise(0).cast("long").alias("n_spans"),
         F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"),
-        F.when(F.col("copy"), F.lit(b"")).otherwise(F.col("text")).alias("kept"))
-    out = cut.withColumn("kept_sha256", F.sha2("kept", 256)).select(same.columns).unionByName(same)
-    out = out.withColumnRenamed("id", id_col)
-    return out if keep_text else out.drop("kept")
+        *([F.when(F.col("copy"), F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []))
+    out = cut.unionByName(same)
+    return out.withColumnRenamed("id", id_col)

@@ -46,7 +46,8 @@ def candidates(docs: DataFrame, keys: Sequence[str], text: str, patterns: Sequen
         bank.append((java, (names["period"], names["zodiac"], names["open"], 0)))
     rows = bank_matches(docs, keys, text, bank)
     value = tx.clean_value(F.col("g1"))
-    rows = rows.select(*keys, F.col("offset").alias("position"), F.col("g0").cast("int").alias("period"), value.alias("value"), F.col("g2").alias("open_result"), F.col("g3").alias("raw"), "pattern_ord")
+    digits = F.translate(F.col("g0"), "０１２３４５６７８９", "0123456789")
+    rows = rows.select(*keys, F.col("offset").alias("position"), digits.try_cast("int").alias("period"), value.alias("value"), F.col("g2").alias("open_result"), F.col("g3").alias("raw"), "pattern_ord")
     rows = rows.where(F.col("value").rlike(f"^[{alphabet}]{{2}}$") & F.col("period").between(1, 365))
     return rows.groupBy(*keys, "position", "period", "value").agg(
         F.min_by(F.struct("open_result", "raw"), "pattern_ord").alias("m"), F.min("pattern_ord").alias("pattern_ord")).select(
