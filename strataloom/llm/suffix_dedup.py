@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import textkit as tk
-from strataloom.llm.common import BROADCAST_BYTES, written
+from strataloom.llm.common import written
 
 LENGTH = 50
 GRAM = 16
@@ -383,9 +383,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = runs.select("run", F.explode("parts").alias("p")).select("run", "p.*")
     answers = parts.groupBy("reducer").applyInArrow(_answer, "run long, number binary, first binary, last binary, low binary")
     answers = written(answers, "repeats-answers")
-    size = answers.agg(F.sum(F.length("low")).alias("n")).first()["n"] or 0  # the largest of four columns
     answers = answers.groupBy("run").agg(F.collect_list(F.struct("number", "first", "last", "low")).alias("answers"))
-    cut = runs.drop("parts").join(F.broadcast(answers) if 2 * size <= BROADCAST_BYTES else answers, "run", "left")
+    cut = runs.drop("parts").join(answers, "run", "left")
     cut = cut.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     cut = cut.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if keep_text else []))
     same = digests.join(info.select("id", "copies", F.col("shared").isNotNull().alias("has")), "id", "left").withColumn("copy", copy)
