@@ -68,6 +68,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     cur = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name
     )
+    before = _signature(cur)
     while True:
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (or itself)
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -83,11 +84,12 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             .where("u <> v").distinct()
         )
         nxt = written(nxt, name)
-        before, after = _signature(cur), _signature(nxt)
+        after = _signature(nxt)
         drop_written(cur)
         cur = nxt
         if before == after:
             break
+        before = after
     ids = cur.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
     roots = cur.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
     return ids.unionByName(roots).groupBy("id").agg(F.min("root").alias("root"))
