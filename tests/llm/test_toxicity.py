@@ -67,3 +67,18 @@ def test_no_labels_and_no_rows(spark, none):
     weights = toxicity.fit(none, empty, steps=1)
     assert toxicity.score(none, weights).collect() == []
     assert toxicity.toxicity(make(spark, [(1, "a", "s")]), empty).first().predicted == 0
+
+
+def test_words_of_one_bucket_keep_their_own_weights(spark):
+    """A clean word with the same 16 leading bits of its hash neither takes a telling word's weight nor hides it."""
+
+    def bucket(word):
+        return int(toxicity.bags(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]))[0][0])
+
+    other = next(w for w in (f"w{i}" for i in range(5_000_000)) if bucket(w) == bucket("vile"))
+    rows = [(i, f"so vile {i}. fine day", "s") if i % 2 else (i, f"fine {other}. day {i}", "s") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(make(spark, rows), labels)
+    asked = make(spark, [(1, "vile", "s"), (2, f"{other} day", "s")])
+    got = {r.doc_id: r.score for r in toxicity.score(asked, model).collect()}
+    assert got[1] >= 0.5 > got[2]
