@@ -5,8 +5,10 @@ from the root to it. Per path the text length and the punctuation are summed and
 blocks with that path; both ratios are smoothed along the page with a Gaussian window and multiplied. Paths
 with a block over THRESHOLD times the mean are content paths. The content element is the article or main
 element that holds most of their text, or else the deepest element that holds all of it; its blocks are the
-main text, so short paragraphs and headings inside it stay. Elements whose tag, class, id or role says that
-they are menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts or styles never count.
+main text, so short paragraphs and headings inside it stay. Elements whose tag, class or role says that they
+are menus, headers, footers, sidebars, adverts, forms, comments, scripts or styles never count, nor do those
+whose id says so outside an article or main element. Words that articles use of themselves (AMBIGUOUS) and
+other ids only keep an element's text from choosing the content element; inside that element it stays.
 
 Pages are independent: a narrow pass, one page at a time in a task.
 """
@@ -40,6 +42,10 @@ WORDS = frozenset(
     " notices notification alert popup modal overlay comment comments commentlist disqus respond reply replies discussion form search"
     " login signup subscribe newsletter share sharing social related recommended recommendations widget toolbar pager pagination"
     " skip legal copyright tags".split())
+#: Of these, words that may as well name a part of an article.
+AMBIGUOUS = frozenset("notice notices discussion reply replies form search related legal copyright tags skip alert banner header social".split())
+#: Elements whose id is often a slug of their own words.
+SLUGS = frozenset("h1 h2 h3 h4 h5 h6 section p".split())
 PLACES = frozenset(("article", "main"))
 #: Opening one of these ends an open paragraph; opening an item ends the open item of its list.
 ENDS_ITEM = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -48,18 +54,24 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 
-def _named_out(attributes: str) -> bool:
-    for _, a, b, c in NAMED.findall(attributes):
-        if not WORDS.isdisjoint(w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", a or b or c)):
-            return True
-    return False
+def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether names say that an element is no part of an article, and whether they may say so."""
+    may = False
+    if tag not in SLUGS or tag in ("section", "p"):
+        for name, a, b, c in NAMED.findall(attributes):
+            found = WORDS.intersection(w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", a or b or c))
+            if not found <= AMBIGUOUS and (name.lower() != "id" or not inside and tag not in SLUGS):
+                return True, True
+            may = may or bool(found)
+    return False, may
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "path", "depth", "place")
+    __slots__ = ("tag", "parent", "out", "may", "path", "depth", "place")
 
-    def __init__(self, tag: str, parent: Element | None, out: bool):
+    def __init__(self, tag: str, parent: Element | None, out: bool, may: bool = False):
         self.tag, self.parent, self.out = tag, parent, out
+        self.may = may or parent is not None and parent.may
         self.depth = parent.depth + 1 if parent else 0
         self.path = f"{parent.path}/{tag}" if parent else ""
         self.place = self if tag in PLACES and not out else parent.place if parent else None
@@ -108,7 +120,7 @@ def blocks(html: str) -> list[tuple[str, Element]]:
                         del inline[i:]
                         break
             elif not m[5].endswith("/"):
-                out = "=" in m[5] and _named_out(m[5])
+                out = "=" in m[5] and _named(tag, m[5], stack[-1].place is not None)[0]
                 hidden += out
                 inline.append((tag, out))
         elif tag in VOID:
@@ -135,8 +147,10 @@ def blocks(html: str) -> list[tuple[str, Element]]:
                         break
             here = stack[-1]
             out = here.out or tag in DROPPED or tag == "header" and here.place is None
-            out = out or tag not in ("html", "body", "article", "main") and "=" in m[5] and _named_out(m[5])
-            stack.append(Element(tag, here, out))
+            named = may = False
+            if tag not in ("html", "body", "article", "main") and "=" in m[5]:
+                named, may = _named(tag, m[5], here.place is not None)
+            stack.append(Element(tag, here, out or named, may))
             if tag in RAW:
                 close = re.compile(f"</{tag}\\b", re.I).search(html, at)
                 at = close.start() if close else end
@@ -157,6 +171,7 @@ def main_text(html: str | None) -> str:
     found = blocks(html) if html else []
     if not found:
         return ""
+    whole, found = found, [x for x in found if not x[1].may] or found
     length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
     for s, e in found:
         length[e.path] += len(s)
@@ -190,7 +205,7 @@ def main_text(html: str | None) -> str:
             e = e.parent
         return e is best
 
-    return "\n".join(s for s, e in found if within(e))
+    return "\n".join(s for s, e in whole if within(e))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

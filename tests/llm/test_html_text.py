@@ -40,3 +40,15 @@ def test_odd_pages(spark):
     assert got[:6] == [(0, "x"), (1, ""), (2, ""), (3, "plain text, no tags"), (4, "open bold"), (5, "")]
     assert dict(got)[7] == "deep, deep." and len(dict(got)[9]) == 599_999 and [g for g in got if g[0] == 8] == [(8, "a < b and c > d")] * 2
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_article_parts_whose_names_look_like_boilerplate():
+    body = """<p>A first paragraph, with text. And more, of course.</p><h2 id="related-work">Related work</h2><p>Others, too, did this. Well.</p>
+<section id="discussion"><p>We discuss it, at length. Here.</p></section><p id="legal">A legal point, in passing.</p>
+<div class="search-results-text">Found, in all, three.</div><p>See <span class="notice">this remark</span>, please.</p>
+<div class="share-bar">Share this, now.</div>"""
+    want = ["A first paragraph, with text. And more, of course.", "Related work", "Others, too, did this. Well.", "We discuss it, at length. Here.",
+            "A legal point, in passing.", "Found, in all, three.", "See this remark, please."]
+    for tag in ("article", "div"):
+        page = f"<body><div class='menu'>Home, about.</div><{tag}>{body}</{tag}><div id='cookie-notice'>Cookies, all kinds. Accept.</div></body>"
+        assert html_text.main_text(page).split("\n") == want
