@@ -113,3 +113,10 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
         out[i] = (hashes[i:j] * up[: j - i]).sum(dtype=np.uint64) + np.uint64(j - i)
         keep[i] = True
     return mix(out[keep]), np.concatenate([[0], np.cumsum(keep)])[first]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs values[starts : starts + counts] that order names, one after the other, and their lengths."""
+    n = counts[order]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts[order] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], n

@@ -18,18 +18,19 @@ order, holding one segment at a time.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.llm.memo import Memo
+from strataloom.llm.textkit import gathered
 
 PRECISION = 18
 LOW = np.uint64(1 << 31)
@@ -159,37 +160,56 @@ def decode_block(payload: bytes, table: Table, first: int = 0, last: int | None
 
 
 _tokenizers: dict[str, TextIds] = {}
+#: White space as the pre-tokeniser sees it, without and with the space and the line end.
+OTHER_WHITE = r"\x{9}\x{B}-\x{D}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE = rf" \n{OTHER_WHITE}"
 #: White space that the library must see in its surroundings.
-ODD = re.compile(r" \s| $")
-TRAIL = re.compile(r"(.*[^\W\d_])([.,;:!?]+)", re.S)
-NEWLINE_BREAK = "\n"
+ODD = rf" [{WHITE}]| $"
+#: White space other than single spaces and line ends between words.
+UNEVEN = rf"[{OTHER_WHITE}]|[ \n][ \n]|^[ \n]|[ \n]$"
+MARKS = ".,;:!?"
+#: Texts are taken in slices of about so many bytes.
+SLICE = 8 << 20
+#: The memo of words starts anew beyond so many.
+MEMO = 400_000
 
 
-def plain_lines(text: str) -> bool:
-    """Whether all white space of a text is single spaces and line ends between words."""
-    words = text.split()
-    return len("".join(words)) + len(words) - 1 == len(text) and text.count(" ") + text.count("\n") == len(words) - 1
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in the vocabulary of a byte-level model."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    unseen = [b for b in range(256) if b not in set(seen)]
+    of = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(unseen)}
+    return [of[b] for b in range(256)]
 
 
 class TextIds:
-    """Ids of whole texts by the tokenizers library, word by word.
+    """Ids of whole texts by the tokenizers library, distinct word by distinct word.
 
     The byte-level pre-tokeniser always starts a new piece at a space that a non-space follows, at a line end
     between two non-spaces and after it, and between a letter and a run of punctuation that ends a word. So
-    texts are cut there, and the ids of each part are remembered; unknown parts are encoded many at a time, a
-    line each, and told apart by the id of the line end. Texts with other runs of white space around a space
-    go to the library whole.
+    texts are cut there by Arrow, equal words are found by its dictionaries, and the ids of distinct words are
+    remembered in a bounded memo; words of letters alone are single pieces and go to the library's model, other
+    words to the whole library. Texts with other runs of white space around a space go to the library whole, as
+    do all texts of a tokenizer that is set up otherwise.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.first, self.rest = Memo(self.whole, 60_000), Memo(lambda w: self.whole(" " + w), 600_000)
-        self.newline = self.whole(NEWLINE_BREAK)
+        with open(path, encoding="utf-8") as f:
+            setup = json.load(f)
+        before = setup.get("pre_tokenizer") or {}
+        self.newline = self.whole("\n")
+        self.cuttable = (
+            before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not setup.get("normalizer")
+            and setup["model"].get("type") == "BPE" and not setup["model"].get("dropout") and len(self.newline) == 4)
+        self.letters = _byte_letters()
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> TextIds:
@@ -200,56 +220,88 @@ class TextIds:
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, memo: Memo, words: set[str], prefix: str) -> None:
-        """Put the ids of distinct words, each after the prefix, into the memo."""
-        split = {w: m.groups() for w in memo.unknown(words) if (m := TRAIL.fullmatch(w))}
-        cores = memo.unknown(({c for c, _ in split.values()} | (words - split.keys())) - {""})
-        plain = [w for w in cores if "\n" not in w and w[0] > " "]
-        if plain:
-            ids = np.array(self.library.encode_batch_fast(["\n".join([prefix + w for w in plain])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]), len(ids))
-            if len(ends) == len(plain):
-                raw, at = ids.tobytes(), 0
-                for w, e in zip(plain, ends.tolist()):
-                    memo.put(w, raw[4 * at : 4 * e])
-                    at = e + 1
-        for w, (core, marks) in split.items():
-            memo.put(w, memo[core] + self.first[marks])
+    def learn(self, words: list[str], single: np.ndarray) -> list[bytes]:
+        """Ids of distinct words, each after a space, or after a line end where it begins with one."""
+        raws = list(map(self.known.get, words))
+        tokenize, letters, space, rest = self.library.model.tokenize, self.letters, self.letters[32], []
+        for k in [k for k, r in enumerate(raws) if r is None]:
+            w = words[k]
+            if not single[k]:
+                rest.append(k)
+                continue
+            w = w if w.isascii() else "".join([letters[b] for b in w.encode()])
+            if words[k][0] == "\n":
+                raws[k] = self.newline + array("I", [t.id for t in tokenize(w[1:] if w[0] == "\n" else w[len(letters[10]) :])]).tobytes()
+            else:
+                raws[k] = array("I", [t.id for t in tokenize(space + w)]).tobytes()
+        for k, e in zip(rest, self.library.encode_batch_fast([words[k][1:] if words[k][:1] == "\n" else " " + words[k] for k in rest], add_special_tokens=False)):
+            raws[k] = (self.newline if words[k][:1] == "\n" else b"") + array("I", e.ids).tobytes()
+        if len(self.known) > MEMO:
+            self.known = {}
+        self.known.update(zip(words, raws))
+        return raws
+
+    def entries(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of distinct words."""
+        core = pc.utf8_rtrim(words, characters=MARKS)
+        core = pc.if_else(pc.match_substring_regex(core, r"\p{L}$"), core, words)
+        cut = pc.not_equal(pc.binary_length(core), pc.binary_length(words))
+        tails = [w[n:] for w, n in zip(words.filter(cut).to_pylist(), pc.utf8_length(core.filter(cut)).to_pylist())]
+        marks = sorted(set(tails))
+        mark = np.zeros(len(words), np.int64)
+        at = {m: k + 1 for k, m in enumerate(marks)}
+        mark[np.flatnonzero(cut.to_numpy(zero_copy_only=False))] = [at[m] for m in tails]
+        core = core.dictionary_encode()
+        names = core.dictionary
+        raws = self.learn(names.to_pylist(), pc.match_substring_regex(names, r"^\n?\p{L}+$").to_numpy(zero_copy_only=False))
+        raws += [b"", *map(self.whole, marks)]
+        counts = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        order = np.stack([core.indices.to_numpy().astype(np.int64), mark + len(names)], axis=1)
+        ids, n = gathered(np.frombuffer(b"".join(raws), "<u4"), np.cumsum(counts) - counts, counts, order.ravel())
+        return ids, n.reshape(-1, 2).sum(axis=1)
+
+    def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, end_id after each, and the lengths of their runs; a null text has the end alone."""
+        texts = texts.cast(pa.string()).fill_null("")
+        odd = pc.match_substring_regex(texts, ODD) if self.cuttable else pc.is_valid(texts)
+        body = pc.if_else(odd, "", texts)
+        body = pc.if_else(pc.match_substring_regex(body, UNEVEN), body, pc.replace_substring(body, "\n", " \n"))
+        # every text starts with a line end, like the lines in it; its id makes room for the end id
+        cut = pc.split_pattern(pc.binary_join_element_wise("", body, "\n"), " ")
+        words = cut.flatten().dictionary_encode()
+        ids, counts = self.entries(words.dictionary) if self.cuttable else (np.frombuffer(self.newline, "<u4"), np.array([len(self.newline) // 4]))
+        order = words.indices.to_numpy().astype(np.int64)
+        heads = cut.offsets.to_numpy().astype(np.int64)
+        heads = heads - heads[0]
+        alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(alone):
+            raws = [self.newline + self.whole(t) for t in texts.take(pa.array(alone)).to_pylist()]
+            order[heads[alone]] = len(counts) + np.arange(len(alone))
+            ids = np.concatenate([ids, np.frombuffer(b"".join(raws), "<u4")])
+            counts = np.concatenate([counts, np.fromiter(map(len, raws), np.int64, len(raws)) // 4])
+        out, n = gathered(ids, np.cumsum(counts) - counts, counts, order)
+        sizes = np.add.reduceat(n, heads[:-1]) if len(texts) else np.zeros(0, np.int64)
+        lead = len(self.newline) // 4
+        starts = np.cumsum(sizes) - sizes
+        if lead > 1:
+            extra = (starts[:, None] + np.arange(1, lead)).ravel()
+            out, sizes = np.delete(out, extra), sizes - (lead - 1)
+            starts = np.cumsum(sizes) - sizes
+        out[starts] = end_id
+        return (np.append(out[1:], np.uint32(end_id)) if len(out) else out).astype("<u4"), sizes
 
     def all(self, texts: list[str | None]) -> list[bytes]:
         """Ids of some texts as little-endian 32-bit numbers; none for a null text."""
-        cut: list[list[list[str]] | bytes] = []
-        heads, words = set(), set()
-        for t in texts:
-            if t and plain_lines(t):
-                lines = [x.split(" ") for x in t.split("\n")]
-            elif t and not ODD.search(t):
-                lines = [t.split(" ")]
-            else:
-                cut.append(self.whole(t) if t else b"")
-                continue
-            cut.append(lines)
-            for line in lines:
-                heads.add(line[0])
-                words.update(line[1:])
-        self.learn(self.first, heads, "")
-        self.learn(self.rest, words, " ")
-        out = []
-        for c in cut:
-            if isinstance(c, list):
-                rest = self.rest.__getitem__
-                c = self.newline.join([self.first[x[0]] + b"".join(map(rest, x[1:])) for x in c])
-            out.append(c)
-        return out
+        ids, sizes = self.encoded(pa.array(texts, pa.string()), 0)
+        ends = np.cumsum(sizes)
+        return [ids[e - n : e - 1].tobytes() for e, n in zip(ends, sizes)]
 
     def __call__(self, text: str) -> bytes:
         return self.all([text])[0]
 
 
-def _segment(part: int, number: int, before: int, docs: list[int], raws: list[bytes]) -> dict:
-    ids = np.frombuffer(b"".join(raws), "<u4")
+def _segment(part: int, number: int, before: int, docs: list[int], lengths: np.ndarray, ids: np.ndarray) -> dict:
     table = normalised(np.bincount(ids))
-    lengths = np.array([len(r) // 4 for r in raws], np.int64)
     ends = np.cumsum(lengths)
     blocks, i = [], 0
     while i < len(docs):
@@ -261,6 +313,16 @@ def _segment(part: int, number: int, before: int, docs: list[int], raws: list[by
     return {"part": part, "segment": number, "before": before, "n_ids": len(ids), "coding": pack_table(*table), "blocks": blocks}
 
 
+def _slices(batch: pa.RecordBatch, limit: int):
+    """Parts of a batch with texts of about so many bytes each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy())
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 ARROW = pa.schema([
     ("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("coding", pa.binary()),
     ("blocks", pa.list_(pa.struct([
@@ -274,23 +336,32 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     A null or empty text has the end id alone. Rows that repeat an id are kept, in order of their text; a null
     id comes first. An empty table makes an empty store. Other columns are ignored.
     """
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
         encode, part = TextIds.of(tokenizer), TaskContext.get().partitionId()
-        ids, raws, held, before, number = [], [], 0, 0, 0
+        docs, sizes, ids, held, before, number = [], [], [], 0, 0, 0
+
+        def segment():
+            nonlocal docs, sizes, ids, held, before, number
+            row = _segment(part, number, before, docs, np.concatenate(sizes), np.concatenate(ids))
+            docs, sizes, ids, before, number, held = [], [], [], before + held, number + 1, 0
+            return pa.RecordBatch.from_pylist([row], ARROW)
+
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                some = b.slice(i, 1024)
-                for k, raw in zip(some.column("id").to_pylist(), encode.all(some.column("text").to_pylist())):
-                    ids.append(k)
-                    raws.append(raw + tail)
-                    held += len(raws[-1]) // 4
+            for some in _slices(b, SLICE):
+                got, n = encode.encoded(some.column("text"), end_id)
+                names, ends, i = some.column("id").to_pylist(), np.cumsum(n), 0
+                while i < len(n):
+                    done = int(ends[i - 1]) if i else 0
+                    j = min(len(n), int(np.searchsorted(ends, done + SEGMENT_IDS - held)) + 1)
+                    docs += names[i:j]
+                    sizes.append(n[i:j])
+                    ids.append(got[done : ends[j - 1]])
+                    held += int(ends[j - 1]) - done
+                    i = j
                     if held >= SEGMENT_IDS:
-                        yield pa.RecordBatch.from_pylist([_segment(part, number, before, ids, raws)], ARROW)
-                        ids, raws, before, number, held = [], [], before + held, number + 1, 0
-        if ids:
-            yield pa.RecordBatch.from_pylist([_segment(part, number, before, ids, raws)], ARROW)
+                        yield segment()
+        if docs:
+            yield segment()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, SCHEMA).write.parquet(path)
