@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as tx
+from strataloom.operators import patterns as pt
+from strataloom.schema import SYMBOLS
 
 
 def java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
@@ -17,38 +19,71 @@ def java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
     return "(?U)" + pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<"), names
 
 
+def _ordered(text: Column, bank: Sequence[tuple[str, tuple[int, ...]]]) -> Column:
+    """array<struct<offset, pattern_ord, g0, g1, ...>> of the matches of all patterns, in this order."""
+    names = [f"g{i}" for i in range(len(bank[0][1]))]
+
+    def numbered(k: int, found: Column) -> Column:
+        return F.transform(found, lambda m: F.struct(m["offset"].alias("offset"), F.lit(k).alias("pattern_ord"), *[m[c].alias(c) for c in names]))
+
+    return F.array_sort(F.flatten(F.array(*[numbered(k, tx.matches(text, p, groups)) for k, (p, groups) in enumerate(bank)])))
+
+
+def _once(rows: Column, most: int, same) -> Column:
+    """Rows in order of offset without those that equal one before at the same offset, of which there are most at most."""
+    bound = F.transform(F.array(rows), lambda every: F.filter(every, lambda x, i: ~F.exists(
+        F.slice(every, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most))), lambda y: (x["offset"] == y["offset"]) & same(x, y))))
+    return F.element_at(bound, 1)
+
+
 def bank_matches(docs: DataFrame, keys: Sequence[str], text: str, bank: Sequence[tuple[str, tuple[int, ...]]]) -> DataFrame:
     """(keys, offset, g0, g1, ..., pattern_ord): matches of every pattern, those with equal offset and groups once.
 
-    bank: (pattern, groups to take); of equal matches the first pattern in bank order stays. One pass over
-    the texts: the matches of all patterns are one array per row.
+    bank: (pattern, groups to take); of equal matches the first pattern in bank order stays. Equal matches are in
+    one text, so they are found in its array: one pass over the texts and no exchange.
     """
-    names = ["offset", *(f"g{i}" for i in range(len(bank[0][1])))]
+    names = [f"g{i}" for i in range(len(bank[0][1]))]
 
-    def numbered(k: int, found):
-        return F.transform(found, lambda m: F.struct(F.lit(k).alias("pattern_ord"), *[m[c].alias(c) for c in names]))
+    def same(x: Column, y: Column) -> Column:
+        out = F.lit(True)
+        for c in names:
+            out = out & x[c].eqNullSafe(y[c])
+        return out
 
-    every = F.array(*[numbered(k, tx.matches(F.col(text), p, groups)) for k, (p, groups) in enumerate(bank)])
-    rows = docs.select(*keys, F.explode(F.flatten(every)).alias("m")).select(*keys, "m.*")
-    values = [c for c in rows.columns if c not in (*keys, "pattern_ord")]
-    return rows.groupBy(*keys, *values).agg(F.min("pattern_ord").alias("pattern_ord"))
+    rows = _once(_ordered(F.col(text), bank), len(bank) - 1, same)
+    return docs.select(*keys, F.explode_outer(rows).alias("m")).where("m is not null").select(*keys, "m.offset", *[f"m.{c}" for c in names], "m.pattern_ord")
 
 
-def candidates(docs: DataFrame, keys: Sequence[str], text: str, patterns: Sequence[str], alphabet: str) -> DataFrame:
-    """(keys, position, period, value, open_result, raw, pattern_ord) of patterns with groups period, zodiac and open.
+def bank_rows(text: Column, base: Column, patterns: Sequence[str] = pt.BANK, alphabet: str = SYMBOLS, semantic: bool = True) -> Column:
+    """array<struct<position, period, value, open_result, raw, valid, pattern_ord>> of patterns with groups period, zodiac and open.
 
-    A value is two different symbols of the alphabet after separators are dropped. Of rows with the same
-    place, period and value the first pattern in order stays, as in a stable sort by place.
+    A value is two different symbols of the alphabet after separators are dropped; rows without one are left out, as
+    are, if semantic, rows whose text has no word of the meaning or the author's. Of rows with the same place, period
+    and value the first pattern in order stays.
     """
     bank = []
     for p in patterns:
         java, names = java_pattern(p)
         bank.append((java, (names["period"], names["zodiac"], names["open"], 0)))
-    rows = bank_matches(docs, keys, text, bank)
-    value = tx.clean_value(F.col("g1"))
-    digits = F.translate(F.col("g0"), "０１２３４５６７８９", "0123456789")
-    rows = rows.select(*keys, F.col("offset").alias("position"), digits.try_cast("int").alias("period"), value.alias("value"), F.col("g2").alias("open_result"), F.col("g3").alias("raw"), "pattern_ord")
-    rows = rows.where(F.col("value").rlike(f"^[{alphabet}]{{2}}$") & F.col("period").between(1, 365))
-    return rows.groupBy(*keys, "position", "period", "value").agg(
-        F.min_by(F.struct("open_result", "raw"), "pattern_ord").alias("m"), F.min("pattern_ord").alias("pattern_ord")).select(
-        *keys, "position", "period", "value", "m.open_result", "m.raw", "pattern_ord")
+
+    def row(m: Column) -> Column:
+        digits = F.translate(m["g0"], "０１２３４５６７８９", "0123456789")
+        return F.struct(m["offset"].alias("offset"), digits.try_cast("int").alias("period"), tx.clean_value(m["g1"]).alias("value"),
+                        m["g2"].alias("open_result"), m["g3"].alias("raw"), m["pattern_ord"].alias("pattern_ord"))
+
+    def good(r: Column) -> Column:
+        fits = r["value"].rlike(f"^[{alphabet}]{{2}}$") & r["period"].between(1, 365)
+        return fits & r["raw"].rlike("(?U)" + pt.SEMANTIC) & ~F.contains(r["raw"], F.lit(pt.AUTHOR)) if semantic else fits
+
+    rows = F.filter(F.transform(_ordered(text, bank), row), good)
+    rows = _once(rows, len(bank) - 1, lambda x, y: (x["period"] == y["period"]) & (x["value"] == y["value"]))
+    return F.transform(rows, lambda r: F.struct(
+        (base + r["offset"]).alias("position"), r["period"].alias("period"), r["value"].alias("value"), r["open_result"].alias("open_result"),
+        r["raw"].alias("raw"), F.lit(True).alias("valid"), r["pattern_ord"].alias("pattern_ord")))
+
+
+def candidates(docs: DataFrame, keys: Sequence[str], text: str, patterns: Sequence[str], alphabet: str) -> DataFrame:
+    """(keys, position, period, value, open_result, raw, pattern_ord) of patterns with groups period, zodiac and open: bank_rows as rows."""
+    rows = bank_rows(F.col(text), F.lit(0), patterns, alphabet, semantic=False)
+    return docs.select(*keys, F.explode_outer(rows).alias("m")).where("m is not null").select(
+        *keys, "m.position", "m.period", "m.value", "m.open_result", "m.raw", "m.pattern_ord")

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import blocks, parsers
+from strataloom.operators import parsers
 from strataloom.sources import readers, sinks
 from strataloom.streaming.history import keep_history
 
@@ -104,25 +104,3 @@ def test_steps_and_pairs(spark):
     assert {r.id for r in parsers.stepping(rows, ["id"], (1,), 2).collect()} == {"a"}
     docs = spark.createDataFrame([("s", "u1", "name x\\/y.js", ""), ("s", "u2", "rows", "x/y.js")], "source string, url string, t string, ref string")
     assert [(r.anchor_url, r.body_url) for r in parsers.linked_pairs(docs, ["source"], "t", "url", "ref", "name").collect()] == [("u1", "u2")]
-
-
-PAGE = "<h3>甲栏目</h3><p>001期：杀二肖【牛马】开鼠</p><p>002期：杀二肖【羊鸡】开牛</p><h3>乙栏目</h3><p>003期：杀二肖【狗猪】开虎</p>"
-
-
-def test_blocks(spark):
-    got = blocks.find_block(PAGE, "甲栏目")
-    assert (got.status, "羊鸡" in got.text, "狗猪" in got.text) == ("ok", True, False)
-    assert blocks.find_block(PAGE, "丙栏目").status == "none"
-    assert blocks.find_block(PAGE + "<h3>甲栏目</h3>", "甲栏目").status == "ambiguous"
-    assert blocks.find_block(PAGE, "甲栏目", stop="没有").status == "no_stop"
-    docs = spark.createDataFrame([("a", PAGE, "甲", "甲栏目", "", "", False, "named_block")], "id string, source string, name string, title string, record string, stop string, strict_block boolean, parser string")
-    found = blocks.target_blocks(docs)
-    rows = blocks.block_rows(found, ["id"], F.col("block.text"), F.col("block.start"))
-    placed = blocks.place_rows(rows, docs, ["id"]).orderBy("position").collect()
-    assert [(r.period, r.value, r.status) for r in placed] == [(1, "牛马", "placed"), (2, "羊鸡", "placed")]
-
-
-def test_rows_after_a_heading_end_at_the_break():
-    text = "头 " + " ".join(f"{p:03d}期[{v}]" for p, v in ((364, "牛马"), (365, "羊鸡"), (1, "狗猪"), (365, "牛羊")))
-    got = blocks.after_heading(text, "头", r"(?P<period>\d{3})期\[(?P<zodiac>..)\]")
-    assert [p for _, p, _ in got] == [364, 365, 1]
