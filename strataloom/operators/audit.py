@@ -12,17 +12,27 @@ SUSPICIOUS, DUPLICATE = 3, 6
 def equal_runs(history: DataFrame, source: str, period: str, match: list[str], least: int = SUSPICIOUS) -> DataFrame:
     """Pairs of sources with equal match columns over consecutive periods: the longest run, the newest of equals.
 
-    An equi-join on (period, match) in place of all pairs, then gaps and islands per pair. start is the newest
-    period of the run, end the oldest.
+    Sources meet on the match columns of least consecutive periods at once, so only pairs that have a run of that
+    length meet at all, and a common value alone brings nobody together. Then gaps and islands per pair. start is the
+    newest period of the run, end the oldest.
     """
-    a = history.select(F.col(source).alias("first"), period, *match)
-    b = history.select(F.col(source).alias("second"), period, *match)
-    pairs = a.join(b, [period, *match]).where(F.col("first") < F.col("second"))
+    for c in match:
+        history = history.where(F.col(c).isNotNull())
+    w = W.partitionBy(source).orderBy(period)
+    value = F.struct(*match)
+    follows = F.lit(True)
+    for k in range(1, least):
+        follows = follows & F.coalesce(F.lead(period, k).over(w) == F.col(period) + k, F.lit(False))
+    keyed = history.select(source, period, F.xxhash64(value, *[F.lead(value, k).over(w) for k in range(1, least)]).alias("_h"), follows.alias("_full"),
+                           F.array(value, *[F.lead(value, k).over(w) for k in range(1, least)]).alias("_v")).where("_full")
+    a = keyed.select(F.col(source).alias("first"), period, "_h", "_v")
+    b = keyed.select(F.col(source).alias("second"), period, "_h", F.col("_v").alias("_u"))
+    pairs = a.join(b, [period, "_h"]).where((F.col("first") < F.col("second")) & (F.col("_v") == F.col("_u")))
     island = F.col(period) - F.row_number().over(W.partitionBy("first", "second").orderBy(period))
-    runs = pairs.withColumn("_island", island).groupBy("first", "second", "_island").agg(
-        F.count("*").alias("consecutive"), F.max(period).alias("start"), F.min(period).alias("end"))
+    runs = pairs.select("first", "second", period, island.alias("_island")).groupBy("first", "second", "_island").agg(
+        (F.count("*") + (least - 1)).alias("consecutive"), (F.max(period) + (least - 1)).alias("start"), F.min(period).alias("end"))
     best = runs.groupBy("first", "second").agg(F.max(F.struct("consecutive", "start", "end")).alias("r"))
-    return best.where(F.col("r.consecutive") >= least).select(
+    return best.select(
         "first", "second", "r.consecutive", "r.start", "r.end",
         F.when(F.col("r.consecutive") >= DUPLICATE, "duplicate").otherwise("suspicious").alias("classification"))
 

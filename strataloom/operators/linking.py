@@ -30,30 +30,57 @@ def boundaries(docs: DataFrame, keys: Sequence[str], identity: str, complete: Co
     return got.withColumn("status", status).drop("_complete")
 
 
-def top_links(pages: DataFrame, key: str, html: str, most: int, score: Column | None = None) -> DataFrame:
-    """The first links of each page, once each, by score (higher first) and then by place."""
-    found = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))).alias("place", "link"))
+def top_links(pages: DataFrame, key: str, html: str, most: int, score=None) -> DataFrame:
+    """The first links of each page, once each, by score (higher first) and then by place.
+
+    score: a function from the link's column to a number, such as one for data scripts before others.
+    """
+    parts = [F.regexp_extract_all(html, F.lit(r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""), F.lit(k)) for k in (1, 2, 3)]
+    link = F.zip_with(F.zip_with(parts[0], parts[1], lambda x, y: F.concat(x, y)), parts[2], lambda x, y: F.concat(x, y))
+    found = pages.select(key, F.posexplode(link).alias("place", "link"))
     found = found.groupBy(key, "link").agg(F.min("place").alias("place"))
-    by = ([score.desc()] if score is not None else []) + [F.col("place")]
+    by = ([score(F.col("link")).desc()] if score is not None else []) + [F.col("place")]
     return found.withColumn("slot", F.row_number().over(W.partitionBy(key).orderBy(*by))).where(F.col("slot") <= most).select(key, "link", "slot")
 
 
+#: A side of so many narrow rows at most, some 32 MB, may be sent to every executor.
+SENT_ROWS = 500_000
+
+
+def sent_if_small(table: DataFrame) -> DataFrame:
+    """A table with a broadcast hint if its row count allows it; else it is shuffled. The count is a job of its own."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def containing(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, words: int = 3) -> DataFrame:
-    """(doc_id, item_id) of texts that contain a passage, by an equi-join on words that must then be there.
+    """(doc_id, item_id) of texts that contain a passage, by an equi-join on what must then be there.
 
-    A text with the passage also has the passage's second to (words + 1)th word in a row, between spaces. So
-    texts and passages are joined on the hash of such runs and only the hits are searched. Passages that are
-    too short for it are few words long: they are searched for in every text, the side of passages being sent.
+    A text with the passage also has the passage's second to (words + 1)th word in a row, between spaces; one with a
+    short passage has its first characters. Hashes of these travel with the ids alone, and only the pairs that meet
+    are joined with the texts and searched. Passages of one or two characters occur nearly everywhere and are few
+    different ones: they are searched for in every text.
     """
-    d = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"), F.split(text, " ").alias("_s"))
+    d = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
     i = items.select(F.col(item_id).alias("_i"), F.col(passage).alias("_p")).withColumn("_w", F.split("_p", " "))
-    long = F.size("_w") >= words + 2
-    keyed = i.where(long).select("_i", "_p", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_k"))
-    last = F.greatest(F.size("_s") - words + 1, F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), last), lambda at: F.xxhash64(F.array_join(F.slice("_s", at, words), " ")))
-    hits = d.select("_d", "_t", F.explode(F.array_distinct(runs)).alias("_k")).join(keyed, "_k").where(F.contains("_t", "_p"))
-    few = d.join(i.where(~long).select("_i", "_p"), F.contains("_t", "_p"))
-    return hits.select("_d", "_i").unionByName(few.select("_d", "_i")).distinct().select(F.col("_d").alias(doc_id), F.col("_i").alias(item_id))
+    long, some = F.size("_w") >= words + 2, F.char_length("_p") >= 3
+
+    def met(parts: Column, keyed: DataFrame) -> DataFrame:
+        keys = d.select("_d", F.explode(F.array_distinct(parts)).alias("_k"))
+        return keys.join(sent_if_small(keyed), "_k").select("_d", "_i")
+
+    split = F.split("_t", " ")
+    last = F.greatest(F.size(split) - words + 1, F.lit(1))
+    runs = F.transform(F.sequence(F.lit(1), last), lambda at: F.xxhash64(F.array_join(F.slice(split, at, words), " ")))
+    pairs = met(runs, i.where(long).select("_i", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_k")))
+    short = i.where(~long & some)
+    if not short.isEmpty():
+        places = F.sequence(F.lit(1), F.greatest(F.char_length("_t") - 2, F.lit(1)))
+        pairs = pairs.unionByName(met(F.transform(places, lambda at: F.xxhash64(F.substring("_t", at, F.lit(3)))), short.select("_i", F.xxhash64(F.substring("_p", 1, 3)).alias("_k"))))
+    hits = pairs.distinct().join(i.select("_i", "_p"), "_i").join(d, "_d").where(F.contains("_t", "_p")).select("_d", "_i")
+    tiny = i.where(~long & ~some).select("_i", "_p")
+    if not tiny.isEmpty():
+        hits = hits.unionByName(d.join(F.broadcast(tiny.groupBy("_p").agg(F.collect_list("_i").alias("_is"))), F.contains("_t", "_p")).select("_d", F.explode("_is").alias("_i")))
+    return hits.distinct().select(F.col("_d").alias(doc_id), F.col("_i").alias(item_id))
 
 
 def starting_with(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, head: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.plans import documents, events, parsing, star
+from strataloom.plans import documents, events, parsing, payloads, star
 
-QUERIES = {**events.QUERIES, **documents.QUERIES, **star.QUERIES, **parsing.QUERIES}
-ORACLE = {**events.ORACLE, **documents.ORACLE, **star.ORACLE, **parsing.ORACLE}
+QUERIES = {**events.QUERIES, **documents.QUERIES, **star.QUERIES, **parsing.QUERIES, **payloads.QUERIES}
+ORACLE = {**events.ORACLE, **documents.ORACLE, **star.ORACLE, **parsing.ORACLE, **payloads.ORACLE}

@@ -133,9 +133,10 @@ def record_identity(spark, sf_dir):
 
 
 def document_boundaries(spark, sf_dir):
-    """Documents of one host form a set: their languages must agree for the set to be accepted."""
-    pages = table(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.regexp_extract("url", r"/([a-z]{2})/", 1).alias("lang"))
-    return linking.boundaries(pages, ["host"], "lang", F.lit(True))
+    """Documents of one host and number form a set: their languages must agree, and none may have lost its end."""
+    pages = table(spark, sf_dir, "pages").select(
+        urls.host(F.col("url")).alias("host"), (F.col("page_id") % 40).alias("number"), F.regexp_extract("url", r"/([a-z]{2})/", 1).alias("lang"), (F.length("html") % 7 != 0).alias("whole"))
+    return linking.boundaries(pages, ["host", "number"], "lang", F.col("whole"))
 
 
 ENT = "x"
@@ -217,8 +218,9 @@ ORACLE = {
         WITH n AS (SELECT page_id, page_id % 8 AS k, regexp_extract(url, '/[a-z]{2}/(\d+)', 1) AS n FROM pages)
         SELECT page_id, CASE k WHEN 0 THEN 'topic:' || n WHEN 1 THEN 'admin_article:' || n WHEN 2 THEN 'user:' || n WHEN 3 THEN 'view:' || n
             WHEN 4 THEN 'article:7:' || n WHEN 5 THEN 'show.aspx:' || n WHEN 6 THEN 'bbs:' || n ELSE '' END AS identity FROM n""",
-    "document_boundaries": rf"""SELECT {HOST} AS host, count(*) AS n, count(DISTINCT regexp_extract(url, '/([a-z]{{2}})/', 1)) AS identities,
-        CASE WHEN count(DISTINCT regexp_extract(url, '/([a-z]{{2}})/', 1)) > 1 THEN 'identity_conflict' ELSE 'ok' END AS status FROM pages GROUP BY 1""",
+    "document_boundaries": rf"""SELECT {HOST} AS host, page_id % 40 AS number, count(*) AS n, count(DISTINCT regexp_extract(url, '/([a-z]{{2}})/', 1)) AS identities,
+        CASE WHEN bool_or(length(html) % 7 = 0) THEN 'incomplete_scan' WHEN count(DISTINCT regexp_extract(url, '/([a-z]{{2}})/', 1)) > 1 THEN 'identity_conflict' ELSE 'ok' END AS status
+        FROM pages GROUP BY 1, 2""",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.operators import registry
+from strataloom.operators import period, registry
 from strataloom.schema import JOIN_MARK, SYMBOLS
 
 PAGE = 100
@@ -163,9 +163,9 @@ def pages(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", (F.col("event_id") % n).alias("p"))
     rows = events.join(_samples(spark, kind), "p")
     rows = rows.withColumn("sheet", F.floor(F.col("event_id") / (n * F.col("rows")))).withColumn("at", F.floor(F.col("event_id") / n) % F.col("rows"))
-    period = F.pmod(F.col("sheet") * 7 + F.col("step") * F.col("at"), F.lit(365)) + 1
+    number = F.pmod(F.col("sheet") * 7 + F.col("step") * F.col("at"), F.lit(365)) + 1
     a, b = F.col("user_id") % 12, (F.col("user_id") + 1 + F.col("event_id") % 11) % 12
-    rows = rows.select("*", period.alias("period"), SYMBOL(a).alias("a"), SYMBOL(b).alias("b"))
+    rows = rows.select("*", number.alias("period"), SYMBOL(a).alias("a"), SYMBOL(b).alias("b"))
     ten = F.replace(F.replace(F.lit(SYMBOLS), F.col("a"), F.lit("")), F.col("b"), F.lit(""))
     line = _filled(F.col("row"), {
         "p": F.lpad(F.col("period").cast("string"), 3, "0"), "d": F.col("period").cast("string"), "a": F.col("a"), "b": F.col("b"), "t": ten,
@@ -202,5 +202,86 @@ def twin(kind: str) -> str:
         FROM c WHERE n >= least"""
 
 
-QUERIES = {f"registry_{kind}": (lambda spark, sf_dir, kind=kind: parsed(spark, sf_dir, kind)) for kind in CLASSES}
-ORACLE = {f"registry_{kind}": twin(kind) for kind in CLASSES}
+PERIODS = (1, 8, 15, 360)
+
+
+def read_rows(spark: SparkSession, sf_dir: str, kind: str = "slice") -> DataFrame:
+    """Rows of the pages of a class as documents of sources: the parser is the source, the page the document."""
+    docs = registry.bound(pages(spark, sf_dir, kind))
+    found = registry.candidates_of(registry.placed(registry.parse_pages(docs, ["sheet", "pick"])), ["sheet", "pick"])
+    return found.select(F.col("parser").alias("source"), F.col("sheet").alias("document"), "pick", "position", "period", "value", F.lit("").alias("record_id"))
+
+
+def _sources(spark: SparkSession, kind: str = "slice") -> DataFrame:
+    return spark.createDataFrame([(s.parser,) for s in CLASSES[kind]] + [("nobody",)], "source string")
+
+
+def single_period(spark, sf_dir):
+    """From pages to one verdict per source, for one period."""
+    return period.by_source(period.for_periods(read_rows(spark, sf_dir), [8]), _sources(spark)).select("source", "status", "value", "carrier", "n_documents", "n_ok")
+
+
+def multi_period(spark, sf_dir):
+    return period.by_source(period.for_periods(read_rows(spark, sf_dir), PERIODS), _sources(spark)).select("source", "requested", "status", "value", "n_ok")
+
+
+def multi_failures(spark, sf_dir):
+    return period.failed_everywhere(period.by_source(period.for_periods(read_rows(spark, sf_dir), PERIODS), _sources(spark)))
+
+
+def window_index(spark, sf_dir):
+    rows = period.by_document(period.for_periods(read_rows(spark, sf_dir), PERIODS))
+    return rows.select("source", "document", "requested", "status", "window_index")
+
+
+def target_probe(spark, sf_dir):
+    return period.has_target(period.for_periods(read_rows(spark, sf_dir), PERIODS))
+
+
+def history_rebuild(spark, sf_dir):
+    return period.rebuilt_history(read_rows(spark, sf_dir).select("source", "document", "position", "period", "value"), ["source", "document"], 8)
+
+
+def _written(kind: str = "slice") -> str:
+    """SQL: the rows of read_rows() with their place in the page and the direction, as table r."""
+    picks = ", ".join(f"('{s.parser}', '{s.pick}')" for s in CLASSES[kind])
+    base = twin(kind).replace("SELECT parser, sheet, (((", "SELECT nth, parser AS source, sheet AS document, (((").strip()
+    return f"WITH picks(source, pick) AS (VALUES {picks}), r AS (SELECT t.*, pick FROM ({base}) t JOIN picks USING (source))"
+
+
+def _chosen(periods: tuple[int, ...]) -> str:
+    return _written() + f""",
+        q AS (SELECT unnest([{', '.join(map(str, periods))}]) AS requested),
+        w AS (SELECT *, row_number() OVER (PARTITION BY source, document ORDER BY CASE pick WHEN 'top' THEN nth ELSE -nth END) - 1 AS slot FROM r),
+        e AS (SELECT source, document, period AS edge FROM w WHERE slot = 0),
+        d AS (SELECT e.source, e.document, requested, value, slot,
+                     CASE WHEN abs(CASE WHEN edge = 365 AND requested = 1 THEN 1 WHEN edge = 1 AND requested = 365 THEN -1 ELSE requested - edge END) > 3 THEN 'out_of_reach'
+                          WHEN value IS NULL THEN 'not_found' ELSE 'ok' END AS status
+              FROM e CROSS JOIN q LEFT JOIN w ON w.source = e.source AND w.document = e.document AND w.slot < 3 AND w.period = requested),
+        s AS (SELECT source, requested, count(*) AS n_documents, count_if(status = 'ok') AS n_ok, count(DISTINCT CASE WHEN status = 'ok' THEN value END) AS vals,
+                     bool_or(status = 'not_found') AS near, min(CASE WHEN status = 'ok' THEN document END) AS first, arg_min(value, document) FILTER (status = 'ok') AS v
+              FROM d GROUP BY ALL),
+        a AS (SELECT source, requested, CASE WHEN vals > 1 THEN 'conflict' WHEN n_ok > 0 THEN 'ok' WHEN near THEN 'not_found' WHEN n_documents > 0 THEN 'out_of_reach' ELSE 'no_rows' END AS status,
+                     v, first, coalesce(n_documents, 0) AS n_documents, coalesce(n_ok, 0) AS n_ok
+              FROM (SELECT source FROM picks UNION ALL SELECT 'nobody') CROSS JOIN q LEFT JOIN s USING (source, requested))"""
+
+
+MISSING = "[8, 7, 6, 5, 4, 3, 2, 1, 365, 364]"
+PERIOD_QUERIES = {f.__name__: f for f in (single_period, multi_period, multi_failures, window_index, target_probe, history_rebuild)}
+PERIOD_ORACLE = {
+    "single_period": _chosen((8,)) + " SELECT source, status, CASE status WHEN 'ok' THEN v END AS value, CASE status WHEN 'ok' THEN first END AS carrier, n_documents, n_ok FROM a",
+    "multi_period": _chosen(PERIODS) + " SELECT source, requested, status, CASE status WHEN 'ok' THEN v END AS value, n_ok FROM a",
+    "multi_failures": _chosen(PERIODS) + """ SELECT source, string_agg(lpad(requested::VARCHAR, 3, '0') || ':' || status, ' ' ORDER BY requested) AS reasons
+        FROM a GROUP BY source HAVING bool_and(status <> 'ok')""",
+    "window_index": _chosen(PERIODS) + " SELECT source, document, requested, status, (CASE status WHEN 'ok' THEN slot ELSE -1 END)::INT AS window_index FROM d",
+    "target_probe": _chosen(PERIODS) + " SELECT source, requested, bool_or(status IN ('ok', 'conflict')) AS found FROM d GROUP BY ALL",
+    "history_rebuild": _written() + f""",
+        h AS (SELECT source, document, list_position({MISSING}, period) AS nth, period, value FROM r WHERE list_contains({MISSING}, period))
+        SELECT source, document, CASE WHEN count(DISTINCT period) < count(DISTINCT (period, value)) THEN 'conflict' WHEN count(DISTINCT period) < 10 THEN 'incomplete' ELSE 'ok' END AS status,
+               count(DISTINCT period) AS n, string_agg(value, '|' ORDER BY nth) AS "values",
+               coalesce(array_to_string(list_filter({MISSING}, x -> NOT list_contains(list(period), x)), ','), '') AS missing
+        FROM h GROUP BY ALL""",
+}
+
+QUERIES = {f"registry_{kind}": (lambda spark, sf_dir, kind=kind: parsed(spark, sf_dir, kind)) for kind in CLASSES} | PERIOD_QUERIES
+ORACLE = {f"registry_{kind}": twin(kind) for kind in CLASSES} | PERIOD_ORACLE

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,16 +33,23 @@ def read_version(spark: SparkSession, path: str, version: int | None = None) ->
 def commit(df: DataFrame, path: str, prepared_from: int) -> int:
     """Write df as the version after prepared_from; StaleVersion if that is no longer the newest.
 
-    The rows are written aside and moved by one rename, which only one of two commits can win.
+    The version is claimed by creating a file that must not exist, which one of two commits can do, on file systems
+    and object stores alike; only its owner writes the version's folder, and readers take a version as there once its
+    _SUCCESS is. A claim is given up when the write fails, so that the version can be tried again.
     """
     spark, version = df.sparkSession, prepared_from + 1
     if latest(spark, path) != prepared_from:
         raise StaleVersion(f"{path} is past version {prepared_from}")
-    aside = f"{path}/_aside-{version}-{spark.sparkContext.applicationId}"
-    df.write.mode("overwrite").parquet(aside)
-    source, fs = _fs(spark, aside)
-    target, _ = _fs(spark, f"{path}/v={version}")
-    if fs.exists(target) or not fs.rename(source, target):
-        fs.delete(source, True)
-        raise StaleVersion(f"{path} got version {version} meanwhile")
+    claim, fs = _fs(spark, f"{path}/_claims/v={version}")
+    try:
+        fs.create(claim, False).close()
+    except Py4JJavaError as e:
+        if fs.exists(claim):
+            raise StaleVersion(f"{path} got version {version} meanwhile") from e
+        raise
+    try:
+        df.write.mode("overwrite").parquet(f"{path}/v={version}")
+    except BaseException:
+        fs.delete(claim, False)
+        raise
     return version
