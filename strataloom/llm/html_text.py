@@ -1,22 +1,27 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks: runs of text between block-level tags, each with the path of block elements
-from the root to it. Per path the text length and the punctuation are summed and divided by the number of
-blocks with that path; both ratios are smoothed along the page with a Gaussian window and multiplied. Paths
-with a block over THRESHOLD times the mean are content paths. The content element is the article or main
-element that holds most of their text, or else the deepest element that holds all of it; its blocks are the
-main text, so short paragraphs and headings inside it stay. Elements whose tag, class or role says that they
-are menus, headers, footers, sidebars, adverts, forms, comments, scripts or styles never count, nor do those
-whose id says so outside an article or main element. Words that articles use of themselves (AMBIGUOUS) and
-other ids only keep an element's text from choosing the content element; inside that element it stays.
-
-Pages are independent: a narrow pass, one page at a time in a task.
+A page is read once into blocks: runs of text between block-level tags, each with its element and the path of
+tags from the root to it (equal paths share one number). Per path the text length and the punctuation are
+summed and divided by the number of blocks with that path; both ratios are smoothed along the page with a
+Gaussian window and multiplied. Paths with a block over THRESHOLD times the mean are content paths, and they
+choose the content node: from the root the way goes down while one child holds SHARE of their text, and up
+again while what is added is headings, or mostly text of the same paths in a fair amount, or belongs to the
+same article element. The node's blocks are the main text, so short paragraphs and headings inside it stay.
+
+Elements whose tag, class or role says that they are menus, headers, footers, sidebars, notices, adverts,
+forms, comments, scripts or styles never count, as the result is to be without them; nor do those whose id
+says so outside an article or main element. Words that articles use of themselves (AMBIGUOUS) and other ids
+only keep an element's text from choosing the node; inside the node it stays.
+
+Pages are independent: a narrow pass, one page at a time in a task, in time and memory that grow in
+proportion to the page, whatever its markup: tags are found by one scan (a quote that leaves a tag without an
+end makes quotes count no more from there on), open elements by their tag, subtrees by ranges of numbers.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left
 from html import unescape
 
 import numpy as np
@@ -25,6 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.5
+SHARE = 2 / 3
+#: Text that joins the node from outside must be so large a part of it.
+FAIR = 1 / 8
 WINDOW = np.exp(-0.5 * (np.arange(-2, 3) / 1.0) ** 2)
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,7 +57,9 @@ SLUGS = frozenset("h1 h2 h3 h4 h5 h6 section p".split())
 PLACES = frozenset(("article", "main"))
 #: Opening one of these ends an open paragraph; opening an item ends the open item of its list.
 ENDS_ITEM = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
-TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+OPENING = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][^\s/>]*))")
+PLAIN = re.compile(r"[^>\"']*")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
@@ -67,23 +77,55 @@ def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "may", "path", "depth", "place")
+    __slots__ = ("tag", "parent", "out", "may", "path", "place", "number", "first", "last")
 
-    def __init__(self, tag: str, parent: Element | None, out: bool, may: bool = False):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Element | None, out: bool, may: bool, path: int, number: int, first: int):
+        self.tag, self.parent, self.out, self.path, self.number = tag, parent, out, path, number
+        self.first = self.last = first
         self.may = may or parent is not None and parent.may
-        self.depth = parent.depth + 1 if parent else 0
-        self.path = f"{parent.path}/{tag}" if parent else ""
         self.place = self if tag in PLACES and not out else parent.place if parent else None
 
 
-def blocks(html: str) -> list[tuple[str, Element]]:
-    """Blocks of a page with their innermost block element; those of elements that never count are left out."""
-    root = Element("", None, False)
-    stack = [root]  # block elements
-    inline: list[tuple[str, bool]] = []  # open inline elements that carry a mark to leave them out
-    found, text = [], []
-    hidden = 0
+class Open:
+    """The elements of a page, and those that are open. An element holds the blocks from first to last - 1."""
+
+    def __init__(self, found: list):
+        self.found = found
+        self.paths: dict[tuple[int, str], int] = {}
+        self.all: list[Element] = []
+        self.stack: list[Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.push("", False, False)
+
+    def push(self, tag: str, out: bool, may: bool) -> None:
+        top = self.stack[-1] if self.stack else None
+        path = self.paths.setdefault((top.path if top else -1, tag), len(self.paths))
+        e = Element(tag, top, out, may, path, len(self.all), len(self.found))
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.all.append(e)
+        self.stack.append(e)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from this depth of the stack on."""
+        while len(self.stack) > depth:
+            e = self.stack.pop()
+            self.at[e.tag].pop()
+            e.last = len(self.found)
+
+    def depth(self, *tags: str) -> int:
+        """Depth of the innermost open element with one of these tags; 0 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+
+def blocks(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
+    """Blocks of a page with their innermost block element, and all elements; blocks that never count are left out."""
+    found: list[tuple[str, Element]] = []
+    tree = Open(found)
+    stack = tree.stack
+    inline: list[tuple[str, bool]] = []  # open inline elements, and whether they are to be left out
+    names: dict[str, int] = {}
+    text: list[str] = []
+    hidden, quotes = 0, True
 
     def flush():
         if text:
@@ -93,8 +135,26 @@ def blocks(html: str) -> list[tuple[str, Element]]:
             text.clear()
 
     at, end = 0, len(html)
+    last, last_quote = html.rfind(">"), {q: html.rfind(q) for q in "\"'"}
+
+    def tag_end(i: int) -> int:
+        """Where the tag whose name ends at i ends: the first > that is not in quotes, if quotes leave one."""
+        nonlocal quotes
+        start = i
+        while quotes:
+            i = PLAIN.match(html, i).end()
+            if i >= end:
+                quotes = False
+            elif html[i] == ">":
+                return i
+            else:
+                i = html.index(html[i], i + 1) + 1 if last_quote[html[i]] > i else i + 1
+        return html.index(">", start)
+
     while at < end:
-        m = TOKEN.search(html, at)
+        m = OPENING.search(html, at)
+        if m and m.start() > last and not m[1]:
+            m = None  # no tag ends after this
         stop = m.start() if m else end
         if stop > at and not hidden and not stack[-1].out:
             text.append(html[at:stop])
@@ -106,56 +166,55 @@ def blocks(html: str) -> list[tuple[str, Element]]:
             at = close + 3 if close >= 0 else end
             continue
         if m[2]:
-            close = html.find(">", at)
-            at = close + 1 if close >= 0 else end
+            at = html.index(">", at) + 1
             continue
+        close = tag_end(at)
+        rest, at = html[at:close], close + 1
         tag, closing = m[4].lower(), bool(m[3])
         if tag == "br":
             text.append(" ")
         elif tag in INLINE:
             if closing:
-                for i in range(len(inline) - 1, -1, -1):
-                    if inline[i][0] == tag:
-                        hidden -= sum(h for _, h in inline[i:])
-                        del inline[i:]
-                        break
-            elif not m[5].endswith("/"):
-                out = "=" in m[5] and _named(tag, m[5], stack[-1].place is not None)[0]
+                if names.get(tag):
+                    while True:
+                        name, out = inline.pop()
+                        names[name] -= 1
+                        hidden -= out
+                        if name == tag:
+                            break
+            elif not rest.endswith("/"):
+                out = "=" in rest and _named(tag, rest, stack[-1].place is not None)[0]
                 hidden += out
                 inline.append((tag, out))
+                names[tag] = names.get(tag, 0) + 1
         elif tag in VOID:
             if tag == "hr":
                 flush()
         else:
             flush()
             inline.clear()
+            names.clear()
             hidden = 0
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+                if depth := tree.depth(tag):
+                    tree.cut(depth)
                 continue
-            if stack[-1].tag == "p" or tag in ("body",) and stack[-1].tag == "head":
-                stack.pop()
-            if tag in ENDS_ITEM:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in ENDS_ITEM[tag]:
-                        break
+            if stack[-1].tag == "p" or tag == "body" and stack[-1].tag == "head":
+                tree.cut(len(stack) - 1)
+            if tag in ENDS_ITEM and (depth := tree.depth(tag)) > tree.depth(*ENDS_ITEM[tag]):
+                tree.cut(depth)
             here = stack[-1]
             out = here.out or tag in DROPPED or tag == "header" and here.place is None
             named = may = False
-            if tag not in ("html", "body", "article", "main") and "=" in m[5]:
-                named, may = _named(tag, m[5], here.place is not None)
-            stack.append(Element(tag, here, out or named, may))
+            if tag not in ("html", "body", "article", "main") and "=" in rest:
+                named, may = _named(tag, rest, here.place is not None)
+            tree.push(tag, out or named, may)
             if tag in RAW:
-                close = re.compile(f"</{tag}\\b", re.I).search(html, at)
-                at = close.start() if close else end
+                raw = re.compile(f"</{re.escape(tag)}\\b", re.I).search(html, at)
+                at = raw.start() if raw else end
     flush()
-    return found
+    tree.cut(0)
+    return found, tree.all
 
 
 def _smooth(v: np.ndarray) -> np.ndarray:
@@ -166,52 +225,66 @@ def _smooth(v: np.ndarray) -> np.ndarray:
     return np.convolve(v, WINDOW, "same") / weight
 
 
+def content_paths(found: list[tuple[str, Element]]) -> set[int]:
+    """Paths whose smoothed and fused ratios of text and punctuation pass the threshold at one of their blocks."""
+    path = np.array([e.path for _, e in found])
+    size = np.array([len(s) for s, _ in found], np.float64)
+    marks = np.array([len(PUNCTUATION.findall(s)) for s, _ in found], np.float64)
+    count = np.bincount(path)
+    by_text, by_marks = (_smooth((np.bincount(path, v) / np.maximum(count, 1))[path]) for v in (size, marks))
+    score = by_text * (1 + by_marks)
+    return set(path[score >= THRESHOLD * score.mean()].tolist())
+
+
+def content_node(found: list[tuple[str, Element]], counted: list[int], elements: list[Element]) -> Element:
+    """The element that the content paths of the counted blocks choose."""
+    seen = [found[i] for i in counted]
+    paths = content_paths(seen)
+    mass = [0] * len(elements)
+    for s, e in seen:
+        if e.path in paths:
+            mass[e.number] += len(s)
+    heaviest: dict[int, Element] = {}
+    for e in reversed(elements[1:]):  # children come after their parents
+        up = e.parent.number
+        mass[up] += mass[e.number]
+        if up not in heaviest or mass[e.number] >= mass[heaviest[up].number]:
+            heaviest[up] = e
+    best = elements[0]
+    while (down := heaviest.get(best.number)) is not None and mass[down.number] and mass[down.number] >= SHARE * mass[best.number]:
+        best = down
+    lo, hi = bisect_left(counted, best.first), bisect_left(counted, best.last)
+    own = {e.path for _, e in seen[lo:hi]} & paths
+    while best.parent is not None:
+        up = best.parent
+        i, j = bisect_left(counted, up.first), bisect_left(counted, up.last)
+        added = seen[i:lo] + seen[hi:j]
+        same = sum(len(s) for s, e in added if e.path in own)
+        other = sum(len(s) for s, e in added if e.path not in own and e.tag not in HEADINGS)
+        if (same or other) and not (same >= other and same >= FAIR * mass[best.number]):
+            break
+        own |= {e.path for _, e in added} & paths
+        best, lo, hi = up, i, j
+    around = best
+    while around is not None and around.tag != "article":
+        around = around.parent
+    return around or best
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by line ends; empty if the page has no text."""
-    found = blocks(html) if html else []
+    found, elements = blocks(html) if html else ([], [])
     if not found:
         return ""
-    whole, found = found, [x for x in found if not x[1].may] or found
-    length, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for s, e in found:
-        length[e.path] += len(s)
-        marks[e.path] += len(PUNCTUATION.findall(s))
-        count[e.path] += 1
-    by_text = _smooth(np.array([length[e.path] / count[e.path] for _, e in found]))
-    by_marks = _smooth(np.array([marks[e.path] / count[e.path] for _, e in found]))
-    score = by_text * (1 + by_marks)
-    paths = {e.path for (_, e), v in zip(found, score) if v >= THRESHOLD * score.mean()}
-    content = [(s, e) for s, e in found if e.path in paths]
-    held: dict[Element, int] = defaultdict(int)
-    for s, e in content:
-        top = e.place
-        while top is not None:  # the outermost article or main
-            last, top = top, top.parent.place
-            if top is None:
-                held[last] += len(s)
-    best = max(held, key=held.get, default=None)
-    if best is None or 2 * held[best] < sum(len(s) for s, _ in content):
-        best = content[0][1]
-        for _, e in content[1:]:
-            while best.depth > e.depth:
-                best = best.parent
-            while e.depth > best.depth:
-                e = e.parent
-            while e is not best:
-                e, best = e.parent, best.parent
-
-    def within(e: Element) -> bool:
-        while e is not None and e.depth > best.depth:
-            e = e.parent
-        return e is best
-
-    return "\n".join(s for s, e in whole if within(e))
+    best = content_node(found, [i for i, (_, e) in enumerate(found) if not e.may] or list(range(len(found))), elements)
+    return "\n".join(s for s, _ in found[best.first : best.last])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without html_col, with text and n_chars, its code points.
 
-    Null and empty pages give empty text; repeated rows are read one by one; an empty table gives no rows.
+    Null and empty pages give empty text; very long pages are read whole, in time in proportion to their length;
+    repeated rows are read one by one; an empty table gives no rows.
     Other columns stay, but a column named text or n_chars is replaced.
     """
     keep = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]

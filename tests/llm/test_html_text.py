@@ -52,3 +52,37 @@ def test_article_parts_whose_names_look_like_boilerplate():
     for tag in ("article", "div"):
         page = f"<body><div class='menu'>Home, about.</div><{tag}>{body}</{tag}><div id='cookie-notice'>Cookies, all kinds. Accept.</div></body>"
         assert html_text.main_text(page).split("\n") == want
+
+
+UNNAMED = """<html><body><div><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li><a href=/s>Shop</a></li></ul></div>
+<div><div><h1>The title</h1><p>A first paragraph of some length, with commas, and a full stop. And one more sentence, here.</p>
+<p>Short one.</p><h2>Part two</h2><p>The second paragraph, which is long enough too, has some marks; and it goes on, for a while.</p>
+text of its own, after it all.</div></div><div><span>Read next: ten more things</span></div><div>All rights reserved</div></body></html>"""
+
+
+def test_paths_choose_the_node_where_nothing_has_a_name(monkeypatch):
+    want = ["The title", "A first paragraph of some length, with commas, and a full stop. And one more sentence, here.", "Short one.", "Part two",
+            "The second paragraph, which is long enough too, has some marks; and it goes on, for a while.", "text of its own, after it all."]
+    assert html_text.main_text(UNNAMED).split("\n") == want
+    # with a constant score every path is content, and short texts in large numbers outweigh the article
+    many = UNNAMED.replace("<li>", "<li>Go to another page of ours</li><li>" * 12, 1)
+    assert html_text.main_text(many).split("\n") == want
+    monkeypatch.setattr(html_text, "THRESHOLD", -1.0)
+    assert html_text.main_text(many).split("\n") != want
+
+
+def test_time_in_proportion_to_the_page():
+    import time
+
+    n = 60_000
+    odd = ["<a " * n, "<a \"> " * n, "<div>" * n + "x", "<div>t" * n, "<div>" * n + "</section>" * n, "<b>" * n + "</i>" * n + "x", "<li><div>" * n + "x", "<p>a" * n,
+           "<a '\">x\" y " * n + ">", "<div class=" + " " * n + "x>y", "<" * n, "&" * n, "<!--" * n, "<script>" * n]
+    start = time.process_time()
+    for page in odd:
+        html_text.main_text(page)
+    assert time.process_time() - start < 60
+
+
+def test_blocks_of_nested_elements_stay_in_page_order():
+    page = "<article>one, two.<div>three, four.<p>five, six.</p>seven, eight.</div>nine, ten.</article>"
+    assert html_text.main_text(page).split("\n") == ["one, two.", "three, four.", "five, six.", "seven, eight.", "nine, ten."]
