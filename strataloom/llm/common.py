@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Where the session names none (tests on one machine) a temporary folder is set as checkpoint folder.
+    Where a session on one machine names none (tests) a temporary folder is set as checkpoint folder; on a cluster
+    that is an error, as its machines do not share one.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strataloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -157,31 +161,43 @@ def forest(n: int, x, y):
     return label
 
 
-TILE = ("g", "a", "h", "b")
-
+def spanning(n: int, x, y, weight):
+    """For n nodes and edges x[i] - y[i]: the numbers of the edges of a maximum spanning forest (numpy)."""
+    import numpy as np
 
-def band_tiles(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """Tiles in which every two rows of one group meet exactly once if their bands are equal or neighbours.
+    label, chosen = np.arange(n), [np.zeros(0, np.int64)]
+    order = np.argsort(-weight, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    while True:
+        cross = np.flatnonzero(label[x] != label[y])
+        if not len(cross):
+            return np.concatenate(chosen)
+        best = np.full(n, len(order))  # of each part the best edge that leaves it
+        np.minimum.at(best, label[x[cross]], rank[cross])
+        np.minimum.at(best, label[y[cross]], rank[cross])
+        e = order[np.unique(best[best < len(order)])]
+        chosen.append(e)
+        label = forest(n, label[x[e]], label[y[e]])[label]
+
+
+def whole_groups(batches, key: str, most: int = 8 << 20):
+    """Arrow batches in order of a key -> tables of whole groups, of about so many bytes unless a group has more."""
+    import numpy as np
+    import pyarrow as pa
 
-    rows: keys, an int column band, a long column k, and more. The rows of a band are dealt by a hash of k
-    over blocks of about most rows, and blocks meet in pairs; so a group of any size is spread over many tiles.
-    Adds g, a, h, b (the bands and blocks that meet) and side, 0 or 1: where a tile has both sides only rows of
-    different sides are to be compared. rows is read twice and should be a written table.
-    """
-    bands = written(rows.groupBy(*keys, "band").agg(F.ceil(F.count("*") / most).alias("blocks")), "bands")
-    up, down = (bands.select(*keys, (F.col("band") - d).alias("band"), F.col("blocks").alias(n)) for d, n in ((1, "above"), (-1, "below")))
-    bands = bands.join(up, [*keys, "band"], "left").join(down, [*keys, "band"], "left").fillna(0)
-    rows = rows.join(bands, [*keys, "band"]).withColumn("block", F.pmod(F.xxhash64("k", F.lit(5)), F.col("blocks")))
-
-    def meet(count, make):
-        none = F.array().cast("array<struct<g:int,a:bigint,h:int,b:bigint,side:int>>")
-        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(count) - 1), make)).otherwise(none)
-
-    def tile(g, a, h, b, side):
-        return F.struct(g.alias("g"), a.alias("a"), h.alias("h"), b.alias("b"), side.cast("int").alias("side"))
-
-    g, a = F.col("band"), F.col("block")
-    same = meet("blocks", lambda o: tile(g, F.least(a, o), g, F.greatest(a, o), a > o))
-    above = meet("above", lambda o: tile(g, a, g + 1, o, F.lit(0)))
-    below = meet("below", lambda o: tile(g - 1, o, g, a, F.lit(1)))
-    return rows.withColumn("t", F.explode(F.concat(same, above, below))).select("*", "t.*").drop("t", "blocks", "above", "below", "block")
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.nbytes
+        if n >= most and held[0].column(key)[0] != b.column(key)[b.num_rows - 1]:
+            t = pa.Table.from_batches(held)
+            values = t[key].to_numpy()
+            cut = int(np.searchsorted(values, values[-1]))
+            yield t.slice(0, cut)
+            rest = t.slice(cut).combine_chunks()
+            held, n = rest.to_batches(), rest.nbytes
+    if held:
+        yield pa.Table.from_batches(held)

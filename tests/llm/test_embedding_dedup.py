@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from strataloom.llm import embedding_dedup
 
@@ -39,19 +40,51 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_dedup(df).count() == sum(r[3] for r in brute(rows))
 
 
-def test_calibrated_recall():
-    """Of random pairs at the threshold nearly all reach the collision count and the neighbouring cell."""
+def pairs_at_the_threshold(n, dim=64):
     rng = np.random.default_rng(1)
-    deviation, window, least = embedding_dedup.calibration()
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((n, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    o = rng.standard_normal((4000, 64))
+    o = rng.standard_normal((n, dim))
     o -= (o * x).sum(axis=1, keepdims=True) * x
     o /= np.linalg.norm(o, axis=1, keepdims=True)
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * o
+    return x, 0.93 * x + np.sqrt(1 - 0.93**2) * o
+
+
+def test_calibrated_recall():
+    """Of random pairs at the threshold nearly all reach the collision count."""
+    _, window, least = embedding_dedup.calibration()
+    x, y = pairs_at_the_threshold(4000)
     d = np.abs((x - y) @ embedding_dedup.directions(64))
     assert ((d <= window).sum(axis=1) >= least).mean() > 0.999
-    assert (d[:, 0] <= embedding_dedup.REACH * deviation).mean() > 0.995
+
+
+def test_recall_of_the_tables():
+    """For labels of any size nearly all pairs at the threshold share a bucket, and few others do."""
+    x, y = pairs_at_the_threshold(2000)
+    for n in (600, 5_000, 100_000, 5_000_000):
+        both = np.concatenate([x, y]).astype(np.float32)
+        batch = pa.record_batch(
+            [pa.array(np.arange(len(both))), pa.array(np.full(len(both), n)), pa.array(np.full(len(both), 64)), pa.array(list(both), pa.list_(pa.float32()))],
+            names=["k", "n", "dim", "embedding"])
+        out = next(embedding_dedup._place([batch]))
+        keys = out.column("keys").flatten().to_numpy().reshape(len(both), -1)
+        assert (keys[:2000] == keys[2000:]).any(axis=1).mean() > 0.99
+        chance = (keys[:1999] == keys[1:2000]).mean()
+        assert chance * n < 3 * embedding_dedup.BLOCK
+
+
+def test_collisions_equal_differences():
+    rng = np.random.default_rng(3)
+    p, q = rng.standard_normal((70, 32)), rng.standard_normal((50, 32))
+    assert (embedding_dedup.collisions(p, q, 0.7) == (np.abs(q[:, None] - p[None]) <= 0.7).sum(axis=2)).all()
+
+
+def test_repeated_and_null_ids(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(1, v, 0), (1, v, 0), (None, v, 0), (2, [-1.0, 2.0, 3.0], 0), (None, None, 0), (3, v, 1)]
+    df = spark.createDataFrame([(*r, "x", 5) for r in rows], SCHEMA)
+    got = sorted(map(tuple, embedding_dedup.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (2, 0, 2, True), (None, 0, None, True), (3, 0, 3, True)], key=repr)
 
 
 def test_empty_table(spark):
