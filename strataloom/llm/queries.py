@@ -48,8 +48,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return pieces.decode(encoded, model, digest=True)
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded=True, digest=True)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,17 @@ def test_random_texts_equal_library(library):
         assert p.decode(raw) == library.decode(library.encode(t))
 
 
+def test_decoding_in_the_same_pass(odd):
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.decoded_sha256)
+    encoded = pieces.encode(odd, PATH)
+    assert sorted(pieces.encode(odd, PATH, decoded=True, digest=True).collect(), key=key) == sorted(pieces.decode(encoded, PATH, digest=True).collect(), key=key)
+
+
+def test_long_runs_of_spaces(library):
+    text = "a" + " " * 100_000 + "b"
+    assert np.frombuffer(pieces.Pieces.of(PATH).encode(text), "<i4").tolist() == library.encode(text)
+
+
 def test_viterbi_by_scores_equals_all_segmentations(library):
     p = pieces.Pieces.of(PATH)
     scores = {w: p.scores[w] for w in p.scores}
