@@ -1,8 +1,8 @@
 """Exact dedup by distributed MSD radix partitioning.
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. A group of rows that agree so
-far is split by the next digit, a run of successive bytes whose width grows fourfold from level to level
-(the first digit also holds the length in bytes, as texts of different lengths cannot be equal). A group is
+far is split by the next digit, a run of successive bytes whose width grows eightfold from level to level, up
+to WIDEST (the first digit also holds the length in bytes, as texts of different lengths cannot be equal). A group is
 finished when it has one row or its texts have ended; equality is decided by the bytes, never by a digest.
 
 Each level is one aggregate on (group, digit), combined on the map side, and one equi-join that hands the
@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import drop_written, fresh_path, written
+from strataloom.llm.common import drop_written, fresh_path, sent_if_small, written
 
 FIRST_DIGIT = 64
 GROWTH = 8
+WIDEST = 1 << 20
 
 
 def ascii_lower(text):
@@ -58,7 +59,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if split.where("open").isEmpty():
             drop_written(split)
             break
-        previous, level, width = split, level + 1, width * GROWTH
+        previous, level, width = split, level + 1, min(width * GROWTH, WIDEST)
         rest = split.where("open").select("id", "sha", "gid", "rest", "len")
     return spark.read.parquet(done).select(
         F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"),
@@ -67,6 +68,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of equal texts the one with the largest id."""
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep[id_col]), "left_semi")
+    """The rows of docs that stay: of equal texts the one with the largest id; all rows of an id that stays.
+
+    The ids of which no row stays are few: where their count allows they are sent to the texts, else both are
+    shuffled. An empty table stays empty; other columns stay as they are.
+    """
+    gone = exact_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("_any")).where("not _any").select("_gone")
+    return docs.join(sent_if_small(written(gone, "exact-gone")), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")

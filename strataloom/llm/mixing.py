@@ -14,6 +14,8 @@ Only DataFrame functions are used; nothing is collected but one number per Newto
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,7 +97,8 @@ def tilts(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame:
         drop_written(state)
         state = nxt
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= TOLERANCE:
-            break
+            return state
+    warnings.warn(f"the mix's dual is not solved to {TOLERANCE} after {MAX_STEPS} steps", stacklevel=2)
     return state
 
 
@@ -105,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     size counts the words (null text: 0), taken = size * copies, copies <= cap. The choice of the extra copy
     is a hash of the id, so reruns agree; rows that repeat an id are counted one by one and decided alike. A
-    null source is a source of its own. Documents of size 0 get rate 1 and one copy, or cap copies where
+    null source is a source of its own. Other columns are ignored, whatever their names. Documents of size 0 get rate 1 and one copy, or cap copies where
     their source is at its cap, and take nothing. An empty table gives no rows.
     """
     sizes = written(

@@ -20,19 +20,23 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Texts are taken in slices of about so many bytes, so that work arrays stay small whatever the batch.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, SLICE + (SLICE >> 2))
-        for kind, base in (("up", MULT), ("down", INVERSE)):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _powers[kind] = np.multiply.accumulate(a)
-    return _powers["up"][:n], _powers["down"][:n]
+    """The first n powers of MULT and of its inverse; those of a slice are kept, those of a longer text are not."""
+    if len(_powers["up"]) >= n:
+        return _powers["up"][:n], _powers["down"][:n]
+    size, made = max(n, SLICE + (SLICE >> 3)), {}
+    for kind, base in (("up", MULT), ("down", INVERSE)):
+        a = np.full(size, base, dtype=np.uint64)
+        a[0] = 1
+        made[kind] = np.multiply.accumulate(a)
+    if size <= SLICE + (SLICE >> 3):
+        _powers.update(made)
+    return made["up"][:n], made["down"][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
