@@ -36,7 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and the digest of the text that they decode to."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return pieces.decode(pieces.encode(docs, model), model, digest=True)
+    return pieces.encode(docs, model, decoded=True, digest=True)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("jaccard join", jaccard), ("source mix", mix), ("sentencepiece", encode)]
@@ -47,6 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 of the mix: the stages one after the other, each from the table before.
+
+    Null texts count as empty ones: never toxic by themselves, one of them stays, links with nothing, taken as the mix
+    has documents without words, encoded to no ids. Rows that repeat an id are judged one by one, but all rows of an id
+    stay where one does, so equal ids should have equal rows; documents of a null id stay or go like others. Columns
+    beyond those of documents pass through all stages but the last. An empty table gives an empty one.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
