@@ -33,3 +33,16 @@ def test_stages_against_brute_force(spark, sf):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = docs.collect()
     assert sorted((r.doc_id, tuple(r.ids)) for r in got) == sorted((i, tuple(library.encode(t or ""))) for i, t, _ in mixed)
+
+
+def test_stages_handle_odd_rows_and_empty_tables(spark, odd, none, sf):
+    """Nulls, empty and long texts, repeated rows and clashing columns pass through every stage."""
+    from tests.llm.conftest import odd_rows
+
+    for docs, rows in ((odd, odd_rows()), (none, [])):
+        ids = {i for i, _, _ in rows}
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.written(stage(spark, docs, sf), f"odd-{k}")
+            got = docs.collect()
+            assert {r.doc_id for r in got} <= ids and (got or not rows)
+            assert docs.columns == (odd.columns if k < 4 else ["doc_id", "n_tokens", "ids", "decoded_sha256"])
