@@ -276,11 +276,10 @@ PERIOD_ORACLE = {
     "window_index": _chosen(PERIODS) + " SELECT source, document, requested, status, (CASE status WHEN 'ok' THEN slot ELSE -1 END)::INT AS window_index FROM d",
     "target_probe": _chosen(PERIODS) + " SELECT source, requested, bool_or(status IN ('ok', 'conflict')) AS found FROM d GROUP BY ALL",
     "history_rebuild": _written() + f""",
-        h AS (SELECT source, document, list_position({MISSING}, period) AS nth, period, value FROM r WHERE list_contains({MISSING}, period))
-        SELECT source, document, CASE WHEN count(DISTINCT period) < count(DISTINCT (period, value)) THEN 'conflict' WHEN count(DISTINCT period) < 10 THEN 'incomplete' ELSE 'ok' END AS status,
-               count(DISTINCT period) AS n, string_agg(value, '|' ORDER BY nth) AS "values",
-               coalesce(array_to_string(list_filter({MISSING}, x -> NOT list_contains(list(period), x)), ','), '') AS missing
-        FROM h GROUP BY ALL""",
+        h AS (SELECT source, document, list_position({MISSING}, period) AS nth, period, value FROM r WHERE list_contains({MISSING}, period)),
+        g AS (SELECT source, document, CASE WHEN count(DISTINCT period) < count(DISTINCT (period, value)) THEN 'conflict' WHEN count(DISTINCT period) < 10 THEN 'incomplete' ELSE 'ok' END AS status,
+                     count(DISTINCT period) AS n, string_agg(value, '|' ORDER BY nth) AS "values", list(period) AS have FROM h GROUP BY ALL)
+        SELECT source, document, status, n, "values", array_to_string(list_filter({MISSING}, lambda x: NOT list_contains(have, x)), ',') AS missing FROM g""",
 }
 
 QUERIES = {f"registry_{kind}": (lambda spark, sf_dir, kind=kind: parsed(spark, sf_dir, kind)) for kind in CLASSES} | PERIOD_QUERIES
