@@ -11,6 +11,7 @@ from strataloom.llm import exact_dedup as exact
 from strataloom.llm import html_text, language_model, mixing, pieces, set_join, suffix_dedup
 from strataloom.llm import token_store
 from strataloom.llm import toxicity as tox
+from strataloom.llm import vector_codes
 from strataloom.llm.common import fresh_path
 
 
@@ -65,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score", "n_offending")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))[0]
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_source_mix": op2_source_mix,
@@ -76,14 +81,44 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 #: A-Z to a-z only, as the operators lower-case.
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _rounds(n: int) -> str:
+    """Steps b1 to bn of the codebooks: every part goes to its nearest entry, entries become floors of means."""
+    return ",".join(f"""
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, p, x, min(struct_pack(d := list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), e := e)) AS best
+            FROM parts JOIN b{k} USING (p) GROUP BY vec_id, p, x),
+        m{k} AS (
+            SELECT p, e, list(mean ORDER BY i) AS c FROM (
+                SELECT p, best.e AS e, i, floor(sum(x[i]) / count(*)) AS mean FROM a{k}, range(1, 17) AS t(i) GROUP BY ALL) GROUP BY p, e),
+        b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, e))""" for k in range(n))
+
+
 ORACLE = {
     "op8_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256({LOW}) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY {LOW})""",
+    "op13_vector_codes": f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, p, v[p * 16 + 1 : p * 16 + 16] AS x FROM kept, range(4) AS t(p)),
+        b0 AS MATERIALIZED (
+            SELECT p, row_number() OVER w - 1 AS e, x AS c FROM parts WINDOW w AS (PARTITION BY p ORDER BY vec_id) QUALIFY row_number() OVER w <= 256),
+        {_rounds(4)},
+        last AS (
+            SELECT vec_id, p, min(struct_pack(d := list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), e := e)) AS best
+            FROM parts JOIN b4 USING (p) GROUP BY vec_id, p),
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM last GROUP BY vec_id),
+        books AS (SELECT sha256(string_agg(c[i]::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM b4, range(1, 17) AS t(i))
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM coded JOIN kept USING (vec_id), books""",
 }
