@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import embedding_dedup
+from strataloom.llm import decontamination, embedding_dedup
 from strataloom.llm import exact_dedup as exact
 from strataloom.llm import html_text, language_model, mixing, pieces, set_join, suffix_dedup
 from strataloom.llm import token_store
@@ -66,6 +66,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score", "n_offending")
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("spans")
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))[0]
 
@@ -81,12 +86,16 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_decontamination": op12_decontamination,
     "op13_vector_codes": op13_vector_codes,
 }
 
 #: A-Z to a-z only, as the operators lower-case.
 LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Words of the benchmark comparison.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
 
 def _rounds(n: int) -> str:
     """Steps b1 to bn of the codebooks: every part goes to its nearest entry, entries become floors of means."""
@@ -105,6 +114,21 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256({LOW}) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY {LOW})""",
+    "op12_decontamination": f"""
+        WITH doc AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOW}, '{WORD}') AS w FROM documents),
+        item AS MATERIALIZED (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({LOW}, '{WORD}') AS w FROM benchmark) WHERE len(w) > 0),
+        windows AS MATERIALIZED (SELECT DISTINCT item_id, n, w[k : k + n - 1] AS x FROM item, range(1, len(w) - n + 2) AS t(k)),
+        found AS MATERIALIZED (
+            SELECT r, k, d.n, d.x FROM (SELECT r, k, n, w[k : k + n - 1] AS x FROM doc, (SELECT DISTINCT n FROM item), range(1, len(w) - n + 2) AS t(k)) AS d
+            WHERE x IN (SELECT x FROM windows)),
+        hit AS (SELECT r, count(DISTINCT k + i) AS n_hit FROM found, range(0, n) AS t(i) GROUP BY r),
+        named AS (
+            SELECT r, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items_sha256
+            FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM found JOIN windows USING (n, x) WHERE item_id IS NOT NULL) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM doc LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
     "op13_vector_codes": f"""
         WITH kept AS (
             SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
