@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import decontamination, embedding_dedup
 from strataloom.llm import exact_dedup as exact
-from strataloom.llm import html_text, language_model, mixing, pieces, set_join, suffix_dedup
+from strataloom.llm import html_text, language_model, mixing, pieces, prefix_trie, set_join, suffix_dedup
 from strataloom.llm import token_store
 from strataloom.llm import toxicity as tox
 from strataloom.llm import vector_codes
@@ -66,6 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted", "worst_start", "worst_end", "worst_score", "n_offending")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("spans")
@@ -86,6 +90,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_decontamination": op12_decontamination,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -96,6 +101,10 @@ LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 #: Words of the benchmark comparison.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: CRC-32 of the decimal digits of c, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                lambda r, b: xor(r >> 8, list_reduce(list_prepend(xor(r, b) & 255, range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))))"""
+
 
 def _rounds(n: int) -> str:
     """Steps b1 to bn of the codebooks: every part goes to its nearest entry, entries become floors of means."""
@@ -114,6 +123,20 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256({LOW}) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY {LOW})""",
+    "op11_prefix_trie": f"""
+        WITH turn AS (
+            SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        conv AS (SELECT c, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role, sha256(text)) AS w, {CRC} % 6 AS h FROM turn GROUP BY c),
+        made AS (SELECT a.c, list_concat(coalesce(b.w[1 : a.h], []), a.w[a.h + 1 :]) AS w FROM conv AS a LEFT JOIN conv AS b ON b.c = a.c - a.c % 100),
+        path AS (SELECT c, d, w[1 : d] AS p, d = len(w) AS ends, CASE WHEN d = 0 THEN 0 ELSE length(w[d].t) END AS chars FROM made, range(len(w) + 1) AS t(d)),
+        node AS MATERIALIZED (
+            SELECT p, d, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM path GROUP BY p, d),
+        child AS MATERIALIZED (SELECT a.p, a.d, count(b.d) AS n_children FROM node AS a LEFT JOIN node AS b ON b.d = a.d + 1 AND b.p[1 : b.d - 1] = a.p GROUP BY a.p, a.d),
+        up AS (SELECT p, d, unnest(range(d + 1)) AS k, n, chars, n_children FROM node JOIN child USING (p, d)),
+        sums AS (SELECT p[1 : k] AS p, sum((n - 1) * chars)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY p[1 : k])
+        SELECT a.conv_id, a.d AS depth, b.conv_id AS parent_conv_id, a.n AS n_convs, n_children, n_leaves, saved_tokens, a.ends_sha256
+        FROM node AS a JOIN child USING (p, d) JOIN sums USING (p) LEFT JOIN node AS b ON b.d = a.d - 1 AND b.p = a.p[1 : a.d - 1]""",
     "op12_decontamination": f"""
         WITH doc AS MATERIALIZED (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOW}, '{WORD}') AS w FROM documents),
