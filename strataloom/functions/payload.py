@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import urls
 from strataloom.functions.status import strict_base64
 from strataloom.functions.text import decode_entities
+from strataloom.sources.scratch import written
 
 # Marks of challenge pages, places of encoded text, paths of data scripts and of nested documents, and
 # the payloads whose pages may load data scripts; encodings that pages have, and what the characters of a guess count.
@@ -69,35 +70,52 @@ def best_decoding(content: Column, declared: Column, guessed: Column) -> Column:
     return decode(content, declared, guessed)
 
 
-def json_nodes(docs: DataFrame, keys: list[str], json: str, depth: int = 12) -> DataFrame:
-    """(keys, path, node variant) of all objects and arrays of a JSON text down to a depth; root has the path root.
+#: Levels of a tree that one plan walks; deeper trees are written and read again between plans.
+LEVELS = 12
 
-    Each level is one lateral explode of the level above: the tree is walked by rows, level by level.
+
+def json_depth(json: Column) -> Column:
+    """How deep brackets are nested in a JSON text, strings left out; at least as deep as its objects and arrays are."""
+    brackets = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]+", "")
+    step = lambda acc, c: F.struct((acc["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("at"), F.greatest(acc["most"], acc["at"] + 1).alias("most"))
+    return F.aggregate(F.split(F.regexp_replace(brackets, r"^$", "{"), ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+
+
+def json_nodes(docs: DataFrame, keys: list[str], json: str) -> DataFrame:
+    """(keys, path, node variant) of all objects and arrays of a JSON text; root has the path root.
+
+    Each level is one lateral explode of the level above: the tree is walked by rows, level by level, as many as the
+    deepest text has. Texts that are no JSON, or deeper than the parser takes (1000 levels), have no nodes.
     """
+    deepest = docs.agg(F.max(json_depth(F.col(json))).alias("n")).first()["n"] or 0
     level = docs.select(*keys, F.lit("root").alias("path"), F.try_parse_json(json).alias("node")).where("node is not null")
     every, spark = level, docs.sparkSession
-    for _ in range(depth):
+    for depth in range(1, deepest):
         child = spark.tvf.variant_explode(F.col("node").outer())
         name = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
         inner = F.schema_of_variant("value")
         level = level.lateralJoin(child).where(F.startswith(inner, F.lit("OBJECT")) | F.startswith(inner, F.lit("ARRAY"))).select(
             *keys, F.concat("path", name).alias("path"), F.col("value").alias("node"))
+        if depth % LEVELS == 0:
+            level = written(level, "json-level")
+            if level.isEmpty():
+                break
         every = every.unionByName(level)
     return every
 
 
-def article_record(docs: DataFrame, keys: list[str], json: str, article: str, depth: int = 12) -> DataFrame:
+def article_record(docs: DataFrame, keys: list[str], json: str, article: str) -> DataFrame:
     """Per document (keys, article) with an article or more: n_articles, n_found, path, title, html of the wanted one, status.
 
     An article is an object with an id, a title and a body of text. status: ok, none (no article has the id) or
     ambiguous (several have).
     """
-    nodes = json_nodes(docs, [*keys, article], json, depth)
+    nodes = json_nodes(docs, [*keys, article], json)
     text = lambda f: F.when(F.schema_of_variant(F.try_variant_get("node", f"$.{f}", "variant")) == "STRING", F.try_variant_get("node", f"$.{f}", "string"))
-    rows = nodes.select(*keys, article, "path", F.try_variant_get("node", "$.id", "string").alias("id"), text("title").alias("title"), text("html").alias("html"))
-    rows = rows.where((F.coalesce("id", F.lit("")) != "") & F.col("title").isNotNull() & F.col("html").isNotNull())
-    mine = F.col("id") == F.col(article)
-    got = rows.groupBy(*keys, article).agg(F.count("*").alias("n_articles"), F.count_if(mine).alias("n_found"), F.min(F.when(mine, F.struct("path", "title", "html"))).alias("r"))
+    rows = nodes.select(*keys, article, "path", F.try_variant_get("node", "$.id", "string").alias("_id"), text("title").alias("_title"), text("html").alias("_html"))
+    rows = rows.where((F.coalesce("_id", F.lit("")) != "") & F.col("_title").isNotNull() & F.col("_html").isNotNull())
+    mine = F.col("_id") == F.col(article)
+    got = rows.groupBy(*keys, article).agg(F.count("*").alias("n_articles"), F.count_if(mine).alias("n_found"), F.min(F.when(mine, F.struct("path", F.col("_title").alias("title"), F.col("_html").alias("html")))).alias("r"))
     status = F.when(F.col("n_found") > 1, "ambiguous").when(F.col("n_found") == 0, "none").otherwise("ok")
     one = lambda c: F.when(status == "ok", F.col(f"r.{c}")).alias(c)
     return got.select(*keys, article, "n_articles", "n_found", status.alias("status"), one("path"), one("title"), one("html"))

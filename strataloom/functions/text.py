@@ -102,29 +102,55 @@ def clean_value(value: Column) -> Column:
     return F.when((F.char_length(v) == 2) & (F.substring(v, 1, 1) == F.substring(v, 2, 1)), "").otherwise(v)
 
 
+#: Elements of a chunk of running_starts.
+CHUNK = 256
+
+
+def _first(bound: Column, use) -> Column:
+    """use(value of bound), bound being computed once although use names it often: a one-element array binds it."""
+    return F.element_at(F.transform(F.array(bound), use), 1)
+
+
+def running_starts(sizes: Column) -> Column:
+    """Of each element of an array of integers the sum of those before it.
+
+    A fold whose result grows copies it at every step; so chunks of a fixed size are folded one by one, and their
+    totals once more, which keeps the work in proportion to the array.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["at"] + x).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+
+    def chunks(all_: Column) -> Column:
+        first = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(CHUNK))
+        return F.transform(first, lambda i: F.aggregate(F.slice(all_, i, CHUNK), start, step))
+
+    def joined(parts: Column) -> Column:
+        bases = F.aggregate(F.transform(parts, lambda c: c["at"]), start, step, lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(parts, bases, lambda c, base: F.transform(c["starts"], lambda o: o + base)))
+
+    return _first(sizes, lambda all_: _first(chunks(all_), joined))
+
+
 def matches(text: Column, pattern: str | Column, groups: Sequence[int | Column] = (0,)) -> Column:
     """array<struct<offset, g0, g1, ...>> of all matches, offset in code points.
 
-    The text between the matches and the matches themselves have known lengths; one running sum over them gives
-    the offsets. The pattern must not match the empty string. Pattern and groups may be columns.
+    The text between the matches and the matches themselves have known lengths; their running sum gives the offsets.
+    The pattern must not match the empty string. Pattern and groups may be columns.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     numbers = [F.lit(g) if isinstance(g, int) else g for g in groups]
     parts = [F.regexp_extract_all(text, p, g).alias(f"g{k}") for k, g in enumerate(numbers)]
-    # structs in an array bind the extracted arrays and the offsets, so that they are computed once per text
-    bound = F.array(F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.split(text, p, -1).alias("gaps"), *parts))
-
-    def placed(b: Column) -> Column:
-        sizes = F.zip_with(F.slice(b["gaps"], 1, F.size(b["whole"])), b["whole"], lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("own")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offsets"))
-        offsets = F.aggregate(sizes, start, lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["own"]).alias("at"), F.array_append(acc["offsets"], acc["at"] + x["gap"]).alias("offsets")), lambda acc: acc["offsets"])
-        return F.struct(offsets.alias("offsets"), *[b[f"g{k}"].alias(f"g{k}") for k in range(len(numbers))])
+    found = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.split(text, p, -1).alias("gaps"), *parts)
 
     def rows(b: Column) -> Column:
-        return F.transform(b["offsets"], lambda o, i: F.struct(o.alias("offset"), *[F.element_at(b[f"g{k}"], i + 1).alias(f"g{k}") for k in range(len(numbers))]))
+        sizes = F.zip_with(F.slice(b["gaps"], 1, F.size(b["whole"])), b["whole"], lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("own")))
+        with_starts = lambda z: F.zip_with(running_starts(F.transform(z, lambda x: x["gap"] + x["own"])), z, lambda at, x: at + x["gap"])
+        row = lambda o, i: F.struct(o.alias("offset"), *[F.element_at(b[f"g{k}"], i + 1).alias(f"g{k}") for k in range(len(numbers))])
+        return F.transform(_first(sizes, with_starts), row)
 
-    return F.element_at(F.transform(F.transform(bound, placed), rows), 1)
+    return _first(found, rows)
 
 
 def masked(digits: Column, shown: Column | None = None, low: int = 1, high: int = 365) -> Column:

@@ -52,35 +52,50 @@ def sent_if_small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SENT_ROWS else table
 
 
-def containing(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str, words: int = 3) -> DataFrame:
+#: Words of the keys of long and of other passages, and characters of those of short ones at most.
+LONG_KEY, KEY, CHARACTERS = 8, 3, 3
+
+
+def _runs(parts: Column, n: int, between: str) -> Column:
+    """Hashes of all runs of n elements of an array of strings; parts is computed once."""
+    def of(b: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(b) - n + 1, F.lit(1)))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(b, i, n), between))))
+
+    return F.element_at(F.transform(F.array(parts), of), 1)
+
+
+def containing(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:
     """(doc_id, item_id) of texts that contain a passage, by an equi-join on what must then be there.
 
-    A text with the passage also has the passage's second to (words + 1)th word in a row, between spaces; one with a
-    short passage has its first characters. Hashes of these travel with the ids alone, and only the pairs that meet
-    are joined with the texts and searched. Passages of one or two characters occur nearly everywhere and are few
-    different ones: they are searched for in every text.
+    A text with the passage also has a run of the passage's inner words between spaces, from its second word on: LONG_KEY
+    words of a long passage, as they are rarer, KEY words of another. One with a passage of few words has its first
+    characters, CHARACTERS at most. A text is split once for each kind of key that the passages have, and its hashes
+    travel with the ids alone; pairs that meet are joined with the texts and searched, so a false meeting costs time
+    only. Hashes of passages are sent where they are few; else both sides are shuffled, and a key of very many texts is
+    split by the adaptive join. Empty passages are in every text, null ones in none, and null texts contain nothing.
     """
-    d = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
-    i = items.select(F.col(item_id).alias("_i"), F.col(passage).alias("_p")).withColumn("_w", F.split("_p", " "))
-    long, some = F.size("_w") >= words + 2, F.char_length("_p") >= 3
-
-    def met(parts: Column, keyed: DataFrame) -> DataFrame:
-        keys = d.select("_d", F.explode(F.array_distinct(parts)).alias("_k"))
-        return keys.join(sent_if_small(keyed), "_k").select("_d", "_i")
-
-    split = F.split("_t", " ")
-    last = F.greatest(F.size(split) - words + 1, F.lit(1))
-    runs = F.transform(F.sequence(F.lit(1), last), lambda at: F.xxhash64(F.array_join(F.slice(split, at, words), " ")))
-    pairs = met(runs, i.where(long).select("_i", F.xxhash64(F.array_join(F.slice("_w", 2, words), " ")).alias("_k")))
-    short = i.where(~long & some)
-    if not short.isEmpty():
-        places = F.sequence(F.lit(1), F.greatest(F.char_length("_t") - 2, F.lit(1)))
-        pairs = pairs.unionByName(met(F.transform(places, lambda at: F.xxhash64(F.substring("_t", at, F.lit(3)))), short.select("_i", F.xxhash64(F.substring("_p", 1, 3)).alias("_k"))))
-    hits = pairs.distinct().join(i.select("_i", "_p"), "_i").join(d, "_d").where(F.contains("_t", "_p")).select("_d", "_i")
-    tiny = i.where(~long & ~some).select("_i", "_p")
-    if not tiny.isEmpty():
-        hits = hits.unionByName(d.join(F.broadcast(tiny.groupBy("_p").agg(F.collect_list("_i").alias("_is"))), F.contains("_t", "_p")).select("_d", F.explode("_is").alias("_i")))
-    return hits.distinct().select(F.col("_d").alias(doc_id), F.col("_i").alias(item_id))
+    d = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).where("_t is not null")
+    i = items.select(F.col(item_id).alias("_i"), F.col(passage).alias("_p")).where("_p is not null").withColumn("_w", F.split("_p", " "))
+    n, chars = F.size("_w"), F.least(F.char_length("_p"), F.lit(CHARACTERS))
+    kind = F.when(n >= LONG_KEY + 2, LONG_KEY).when(n >= KEY + 2, KEY).otherwise(-chars)  # words, or characters below 0
+    key = F.when(kind > 0, F.xxhash64(F.array_join(F.slice("_w", F.lit(2), kind), " "))).otherwise(F.xxhash64(F.substring(F.col("_p"), F.lit(1), -kind)))
+    keyed = i.select("_i", "_p", kind.alias("_kind"), F.when(n >= KEY + 2, F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.greatest(kind, F.lit(1))), " "))).otherwise(key).alias("_k"))
+    pairs = None
+    for size in sorted(r[0] for r in keyed.select("_kind").distinct().collect()):  # five kinds at most
+        own = keyed.where(F.col("_kind") == size)
+        if size == 0:
+            met = d.select("_d", F.explode(F.array(F.xxhash64(F.lit("")))).alias("_k"))
+        elif size > 0:
+            met = d.select("_d", F.explode(_runs(F.split("_t", " "), size, " ")).alias("_k"))
+        else:
+            met = d.select("_d", F.explode(_runs(F.split("_t", ""), -size, "")).alias("_k"))
+        met = met.join(sent_if_small(own.select("_i", "_k")), "_k").select("_d", "_i")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
+        return d.join(i, F.lit(False)).select(F.col("_d").alias(doc_id), F.col("_i").alias(item_id))
+    hits = pairs.distinct().join(i.select("_i", "_p"), "_i").join(d, "_d").where(F.contains("_t", "_p"))
+    return hits.select(F.col("_d").alias(doc_id), F.col("_i").alias(item_id)).distinct()
 
 
 def starting_with(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, head: str) -> DataFrame:
