@@ -8,10 +8,13 @@ choose the content node: from the root the way goes down while one child holds S
 again while what is added is headings, or mostly text of the same paths in a fair amount, or belongs to the
 same article element. The node's blocks are the main text, so short paragraphs and headings inside it stay.
 
-Elements whose tag, class or role says that they are menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts or styles never count, as the result is to be without them; nor do those whose id
-says so outside an article or main element. Words that articles use of themselves (AMBIGUOUS) and other ids
-only keep an element's text from choosing the node; inside the node it stays.
+Elements whose tag says that they are menus, footers, asides, scripts or styles never count, as the result is to be
+without them; nor do forms, headers and elements of which a whole class, id or role says so (its words begin or end
+with a telling one, and none such as "no" or "with" turns it into a remark on the layout). But a name judges only
+what it may name: an element that holds the page's article or most of its text is a wrapper and stays, and words that
+are also said of parts of an article (WEAK) drop nothing inside one that reads like its text. Words that articles use
+of themselves (AMBIGUOUS), and ids inside an article, only keep an element's text from choosing the node; inside the
+node it stays.
 
 Pages are independent: a narrow pass, one page at a time in a task, in time and memory that grow in
 proportion to the page, whatever its markup: tags are found by one scan (a quote that leaves a tag without an
@@ -40,20 +43,25 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike"
     " strong sub sup time tt u var wbr".split())
-DROPPED = frozenset(
-    "nav footer aside form script style noscript template head button select textarea iframe object svg canvas dialog menu title"
-    " noembed noframes xmp audio video map".split())
-#: An element with one of these words in its class, id or role is no part of the article.
-WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navigation navbar menu menubar"
-    " breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside complementary contentinfo cookie cookies consent gdpr notice"
-    " notices notification alert popup modal overlay comment comments commentlist disqus respond reply replies discussion form search"
-    " login signup subscribe newsletter share sharing social related recommended recommendations widget toolbar pager pagination"
-    " skip legal copyright tags".split())
-#: Of these, words that may as well name a part of an article.
-AMBIGUOUS = frozenset("notice notices discussion reply replies form search related legal copyright tags skip alert banner header social".split())
+#: Elements without text for the reader, and elements that stand beside an article.
+NEVER = frozenset(
+    "script style noscript template head button select textarea iframe object svg canvas title noembed noframes xmp audio video map".split())
+BESIDE = frozenset("nav footer aside dialog menu".split())
+#: Words of names of elements that are no part of an article.
+COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+WORDS = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored nav navigation navbar menu menubar breadcrumb breadcrumbs masthead topbar"
+    " footer bottombar sidebar aside contentinfo cookie cookies consent gdpr popup overlay subscribe newsletter widget toolbar pager pagination".split())
+#: Words that are said of parts of an article as well: inside of one they drop what does not read like its text.
+WEAK = frozenset("promo promotion modal share sharing login signup related recommended recommendations complementary".split())
+#: Words that may as well name a part of an article.
+AMBIGUOUS = frozenset("notice notices notification alert discussion reply replies form search related legal copyright tags skip banner header social".split())
+#: Words that turn a name into a remark on the layout.
+LAYOUT = frozenset("no not non with without has have hide hidden layout page wrapper container content two three col".split())
 #: Elements whose id is often a slug of their own words.
 SLUGS = frozenset("h1 h2 h3 h4 h5 h6 section p".split())
+#: Part of the page's text that a wrapper holds; length and share of marks of what reads like text.
+MOST, SENTENCE, MARKED = 0.6, 40, 1 / 200
 PLACES = frozenset(("article", "main"))
 #: Opening one of these ends an open paragraph; opening an item ends the open item of its list.
 ENDS_ITEM = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -64,26 +72,35 @@ NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 
-def _named(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether names say that an element is no part of an article, and whether they may say so."""
-    may = False
-    if tag not in SLUGS or tag in ("section", "p"):
-        for name, a, b, c in NAMED.findall(attributes):
-            found = WORDS.intersection(w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", a or b or c))
-            if not found <= AMBIGUOUS and (name.lower() != "id" or not inside and tag not in SLUGS):
-                return True, True
-            may = may or bool(found)
-    return False, may
+NONE, MAY, WEAKLY, SURELY, COMMENT = range(5)
+
+
+def _named(tag: str, attributes: str, inside: bool) -> int:
+    """How far names say that an element is no part of an article."""
+    most = NONE
+    for name, a, b, c in NAMED.findall(attributes):
+        slug = name.lower() == "id" and (inside or tag in SLUGS)
+        if tag in HEADINGS or slug and tag not in ("section", "p"):
+            continue
+        for token in (a or b or c).split():
+            parts = [w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", token) if w]
+            if not parts or not LAYOUT.isdisjoint(parts):
+                continue
+            ends = {parts[0], parts[-1]}
+            level = COMMENT if ends & COMMENTS else SURELY if ends & WORDS else WEAKLY if ends & WEAK else MAY if ends & AMBIGUOUS else NONE
+            most = max(most, min(level, MAY) if slug else level)
+    return most
 
 
 class Element:
-    __slots__ = ("tag", "parent", "out", "may", "path", "place", "number", "first", "last")
+    __slots__ = ("tag", "parent", "out", "never", "said", "may", "path", "place", "number", "first", "last")
 
-    def __init__(self, tag: str, parent: Element | None, out: bool, may: bool, path: int, number: int, first: int):
-        self.tag, self.parent, self.out, self.path, self.number = tag, parent, out, path, number
+    def __init__(self, tag: str, parent: Element | None, never: bool, said: int, path: int, number: int, first: int):
+        self.tag, self.parent, self.never, self.said, self.path, self.number = tag, parent, never, said, path, number
         self.first = self.last = first
-        self.may = may or parent is not None and parent.may
-        self.place = self if tag in PLACES and not out else parent.place if parent else None
+        self.out = False
+        self.may = said == MAY or parent is not None and parent.may
+        self.place = self if tag in PLACES and said < SURELY else parent.place if parent else None
 
 
 class Open:
@@ -95,12 +112,12 @@ class Open:
         self.all: list[Element] = []
         self.stack: list[Element] = []
         self.at: dict[str, list[int]] = {}
-        self.push("", False, False)
+        self.push("", False, NONE)
 
-    def push(self, tag: str, out: bool, may: bool) -> None:
+    def push(self, tag: str, never: bool, said: int) -> None:
         top = self.stack[-1] if self.stack else None
         path = self.paths.setdefault((top.path if top else -1, tag), len(self.paths))
-        e = Element(tag, top, out, may, path, len(self.all), len(self.found))
+        e = Element(tag, top, never, said, path, len(self.all), len(self.found))
         self.at.setdefault(tag, []).append(len(self.stack))
         self.all.append(e)
         self.stack.append(e)
@@ -118,7 +135,7 @@ class Open:
 
 
 def blocks(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
-    """Blocks of a page with their innermost block element, and all elements; blocks that never count are left out."""
+    """Blocks of a page with their innermost block element, and all elements; blocks that do not count are left out."""
     found: list[tuple[str, Element]] = []
     tree = Open(found)
     stack = tree.stack
@@ -130,7 +147,7 @@ def blocks(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
     def flush():
         if text:
             s = " ".join(unescape("".join(text)).split())
-            if s and not stack[-1].out:
+            if s and not stack[-1].never:
                 found.append((s, stack[-1]))
             text.clear()
 
@@ -156,7 +173,7 @@ def blocks(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
         if m and m.start() > last and not m[1]:
             m = None  # no tag ends after this
         stop = m.start() if m else end
-        if stop > at and not hidden and not stack[-1].out:
+        if stop > at and not hidden and not stack[-1].never:
             text.append(html[at:stop])
         if not m:
             break
@@ -183,7 +200,7 @@ def blocks(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
                         if name == tag:
                             break
             elif not rest.endswith("/"):
-                out = "=" in rest and _named(tag, rest, stack[-1].place is not None)[0]
+                out = "=" in rest and _named(tag, rest, stack[-1].place is not None) >= SURELY
                 hidden += out
                 inline.append((tag, out))
                 names[tag] = names.get(tag, 0) + 1
@@ -204,17 +221,43 @@ def blocks(html: str) -> tuple[list[tuple[str, Element]], list[Element]]:
             if tag in ENDS_ITEM and (depth := tree.depth(tag)) > tree.depth(*ENDS_ITEM[tag]):
                 tree.cut(depth)
             here = stack[-1]
-            out = here.out or tag in DROPPED or tag == "header" and here.place is None
-            named = may = False
-            if tag not in ("html", "body", "article", "main") and "=" in rest:
-                named, may = _named(tag, rest, here.place is not None)
-            tree.push(tag, out or named, may)
+            said = _named(tag, rest, here.place is not None) if tag not in ("html", "body", "main") and "=" in rest else NONE
+            tree.push(tag, here.never or tag in NEVER, said)
             if tag in RAW:
                 raw = re.compile(f"</{re.escape(tag)}\\b", re.I).search(html, at)
                 at = raw.start() if raw else end
     flush()
     tree.cut(0)
-    return found, tree.all
+    return _judged(found, tree.all)
+
+
+def _judged(found: list, elements: list[Element]) -> tuple[list, list[Element]]:
+    """The blocks that count, their elements' ranges being ranges of these."""
+    size = np.concatenate([[0], np.cumsum([len(s) for s, _ in found])]).astype(np.int64)
+    places = [0] * len(elements)  # articles and main elements in each element, itself included
+    for e in reversed(elements):
+        places[e.number] += e.tag in PLACES and e.said < SURELY
+        if e.parent:
+            places[e.parent.number] += places[e.number]
+    for e in elements[1:]:
+        text = int(size[e.last] - size[e.first])
+        wrapper = places[e.number] > 0 or text > MOST * size[-1]
+        if e.said == COMMENT:  # comments may be articles themselves, and have most of the text
+            own = text == size[-1] or 0 < places[e.number] == places[0]
+        elif e.said == SURELY or e.tag == "form":
+            own = wrapper
+        elif e.said == WEAKLY:
+            marks = sum(len(PUNCTUATION.findall(s)) for s, _ in found[e.first : e.last]) if not wrapper and e.parent.place is not None and text >= SENTENCE else 0
+            own = wrapper or marks >= max(1, MARKED * text)
+        else:
+            own = True
+        beside = e.tag in BESIDE or e.tag == "header" and e.place is None and not wrapper
+        e.out = e.parent.out or beside or not own
+    kept = [not e.out for _, e in found]
+    before = np.concatenate([[0], np.cumsum(kept)]).astype(np.int64)
+    for e in elements:
+        e.first, e.last = int(before[e.first]), int(before[e.last])
+    return [x for x, k in zip(found, kept) if k], elements
 
 
 def _smooth(v: np.ndarray) -> np.ndarray:

@@ -86,3 +86,32 @@ def test_time_in_proportion_to_the_page():
 def test_blocks_of_nested_elements_stay_in_page_order():
     page = "<article>one, two.<div>three, four.<p>five, six.</p>seven, eight.</div>nine, ten.</article>"
     assert html_text.main_text(page).split("\n") == ["one, two.", "three, four.", "five, six.", "seven, eight.", "nine, ten."]
+
+
+ARTICLE = "<article><h1>Head</h1><p>A first paragraph, with text. And more, of course.</p><p>A second one, with as much, or nearly so.</p></article>"
+TEXT = ["Head", "A first paragraph, with text. And more, of course.", "A second one, with as much, or nearly so."]
+AROUND = "<div class='menu'><a>Home</a> <a>About</a></div>{}<div class='comments'><p>Nice one, really. Thanks!</p></div><footer>All rights, reserved.</footer>"
+
+
+def test_wrappers_whose_names_look_like_boilerplate():
+    """A name does not judge what holds the article."""
+    for page in (f'<div class="content with-sidebar">{ARTICLE}</div>', f'<div id="page" class="no-sidebar layout">{ARTICLE}</div>', f'<div class="two-col sidebar-left">{ARTICLE}</div>',
+                 f'<div class="page-with-ads"><main>{ARTICLE[9:-10]}</main></div>', f'<form id="aspnetForm">{ARTICLE}</form>', f'<div class="sidebar">{ARTICLE}</div>',
+                 f'<div class="widget"><div class="post">{ARTICLE[9:-10]}</div></div>'):
+        assert html_text.main_text(f"<body>{AROUND.format(page)}</body>").split("\n") == TEXT
+
+
+def test_parts_of_an_article_with_telling_names():
+    inside = '<div class="promotion"><p>A promotion at work, they say, is never a gift; it is earned.</p></div><p class="share">Each share of the firm, at its best, was worth ten.</p>'
+    inside += '<div class="modal verb">A modal verb, such as can or may, says how likely a thing is.</div>'
+    want = [*TEXT, "A promotion at work, they say, is never a gift; it is earned.", "Each share of the firm, at its best, was worth ten.",
+            "A modal verb, such as can or may, says how likely a thing is."]
+    page = ARTICLE.replace("</article>", inside + '<div class="ad">Buy it, now, at half of the price. Really, do it.</div><div class="share">Share this</div></article>')
+    assert html_text.main_text(f"<body>{AROUND.format(page)}</body>").split("\n") == want
+
+
+def test_comments_go_whatever_their_size():
+    many = "".join(f"<li class='comment'><article><p>Comment {k}, which is long, and says a lot. Or not?</p></article></li>" for k in range(30))
+    assert html_text.main_text(f"<body>{ARTICLE}<ol class='comment-list'>{many}</ol></body>").split("\n") == TEXT
+    plain = "".join(f"<p>Comment {k}, which is long, and says a lot. Or not?</p>" for k in range(30))
+    assert html_text.main_text(f"<body><div class='post'>{ARTICLE[9:-10]}</div><div id='comments'>{plain}</div></body>").split("\n") == TEXT
