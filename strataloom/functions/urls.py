@@ -99,3 +99,29 @@ def redirect_allowed(requested: Column, final: Column, allowed: Column) -> Colum
     reach = (origin(requested) == origin(final)) | up | F.array_contains(allowed, origin(final))
     down = (scheme(requested) == "https") & (scheme(final) == "http")
     return F.coalesce(reach, F.lit(False)) & ~down & (record_identity(requested) == record_identity(final))
+
+
+def authority(url: Column) -> Column:
+    """scheme://host of a URL as it is written, with port and credentials."""
+    return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """The URL that a reference in a document at base names."""
+    plain = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_replace(F.regexp_replace(plain, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", ""), r"[^/]*$", "")
+    joined = F.concat(F.when(folder == "", "/").otherwise(folder), reference)
+    where, rest = F.regexp_extract(joined, r"^([^?#]*)", 1), F.regexp_extract(joined, r"^[^?#]*(.*)$", 1)
+    segments = F.split(where, "/", -1)
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1)))
+    step = lambda acc, s: F.when(s == "..", up(acc)).when(s == ".", acc).otherwise(F.array_append(acc, s))
+    walked = F.aggregate(segments, F.array().cast("array<string>"), step)
+    last = F.when(F.element_at(segments, -1).isin(".", ".."), F.array_append(walked, F.lit(""))).otherwise(walked)
+    return (
+        F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), reference)
+        .when(F.startswith(reference, F.lit("//")), F.concat(scheme(base), F.lit(":"), reference))
+        .when(F.startswith(reference, F.lit("/")), F.concat(authority(base), reference))
+        .when(F.startswith(reference, F.lit("?")), F.concat(plain, reference))
+        .when(F.startswith(reference, F.lit("#")), F.concat(without_fragment(base), reference))
+        .when(reference == "", base)
+        .otherwise(F.concat(authority(base), F.array_join(last, "/"), rest)))
