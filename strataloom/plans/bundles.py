@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import text as tx
-from strataloom.operators import bundles, history, period, walk
+from strataloom.functions import urls
+from strataloom.operators import bundles, crawl, history, period, walk
 from strataloom.schema import SYMBOLS
 from strataloom.sources import scratch, sinks
 
@@ -168,12 +169,120 @@ def _history_sql(day: int, repair: bool) -> str:
         FROM n LEFT JOIN r USING (user_id)"""
 
 
+MOST, NESTED = 12, 3
+FAN = 4
+
+
+def _site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, captured): the pages of each host as a tree of frames with links back.
+
+    The n pages of a host are numbered by page_id. Page i leads to FAN * i + 1 ... FAN * i + FAN, to the page that leads
+    to it, to itself, to the root, to another host and to an address of a template. Every 9th page has not been captured.
+    """
+    from pyspark.sql import Window as W
+
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html", urls.host(F.col("url")).alias("host"))
+    p = p.withColumn("i", F.row_number().over(W.partitionBy("host").orderBy("page_id")) - 1).withColumn("n", F.count("*").over(W.partitionBy("host")))
+    at = lambda i: F.concat(F.lit("https://"), F.col("host"), F.lit("/p/"), i.cast("string"))
+    frame = lambda u: F.concat(F.lit("<iframe class='x' src=\""), u, F.lit("\"></iframe>"))
+    below = F.filter(F.transform(F.sequence(F.lit(1), F.lit(FAN)), lambda k: F.col("i") * FAN + k), lambda j: j < F.col("n"))
+    links = F.concat(
+        frame(F.lit("../p/0#top")), F.array_join(F.transform(below, lambda j: frame(F.concat(F.lit("/p/"), j.cast("string")))), ""), frame(at(F.floor((F.greatest(F.col("i"), F.lit(1)) - 1) / FAN))), frame(at(F.col("i"))),
+        frame(F.lit("https://elsewhere.example/p/1")), frame(F.lit("/p/{id}")))
+    none = F.array().cast("array<string>")
+    sources = p.where("i = 0").select(F.col("host").alias("source"), at(F.lit(0)).alias("url"), none.alias("allowed"), F.lit("").alias("api"), F.lit("").alias("pattern"))
+    return sources, p.where("page_id % 9 <> 5").select(at(F.col("i")).alias("url"), F.concat("html", links).alias("text"))
+
+
+def crawl_scan(spark, sf_dir):
+    """The documents that each host's first page leads to within the budgets."""
+    documents, _ = crawl.closure(*_site(spark, sf_dir), most=MOST, nested=NESTED)
+    return documents.select("source", "place", "depth", "url", "parent_url", "link_reference", F.md5(F.encode("text", "UTF-8")).alias("digest"))
+
+
+def crawl_complete(spark, sf_dir):
+    """Whether each host's scan has left nothing out."""
+    return crawl.closure(*_site(spark, sf_dir), most=MOST, nested=NESTED)[1]
+
+
+ENTRIES = 7
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, captured): a user's events as entries of a listing of ENTRIES a page, newest first for even users.
+
+    Every 6th entry is not the source's, every 10th has no period, every 15th repeats the first address of its page. A
+    page leads to the next, the last one back to the first; every 8th user has lost the second page.
+    """
+    e = events(spark, sf_dir)
+    per = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("event_id"))).alias("l")).withColumn("l", F.when(F.col("user_id") % 2 == 0, F.reverse("l")).otherwise(F.col("l")))
+    u = F.col("user_id").cast("string")
+    pages = per.withColumn("n", F.ceil(F.size("l") / ENTRIES).cast("int")).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    own = F.slice("l", (F.col("page") - 1) * ENTRIES + 1, F.lit(ENTRIES))
+    title = lambda i: F.concat(F.when(i % 10 == 0, F.lit("")).otherwise(F.concat(F.lpad((i % 365 + 1).cast("string"), 3, "0"), F.lit("期"))), F.when(i % 6 == 0, F.lit(" 别站")).otherwise(F.concat(F.lit(" 源"), u, F.lit("站"))), F.lit("<b>绝杀</b>二肖"))
+    link = lambda i, h: F.concat(F.lit("<a class=e href='"), h, F.lit("'>"), title(i), F.lit("</a>"))
+    body = F.array_join(F.transform(own, lambda i: link(i, F.concat(F.lit("/t/"), F.when(i % 15 == 0, F.get(own, F.lit(0))).otherwise(i).cast("string"), F.lit(".html")))), " ")
+    further = F.concat(F.lit("<a href='#'>下一页</a><a href='/other'>下一页</a><a href='?p="), (F.col("page") % F.col("n") + 1).cast("string"), F.lit("'><i>下一页</i></a>"))
+    at = lambda k: F.concat(F.lit("https://l.example/list/"), u, F.when(k == 1, F.lit("?p=1")).otherwise(F.concat(F.lit("?p="), k.cast("string"))))
+    captured = pages.where(~((F.col("user_id") % 8 == 3) & (F.col("page") == 2))).select(at(F.col("page")).alias("url"), F.concat(body, further).alias("text"))
+    sources = per.select(
+        F.col("user_id").alias("source"), at(F.lit(1)).alias("url"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("源"), u, F.lit("站.*二肖"))).otherwise("").alias("title"), F.concat(F.lit("源"), u, F.lit("站")).alias("name"),
+        F.array(F.lit("绝杀")).alias("keywords"), F.when(F.col("user_id") % 4 < 2, "top").otherwise("bottom").alias("pick"))
+    return sources, captured
+
+
+def listing_scan(spark, sf_dir):
+    """All entries of the listings that are whole, with the few of them that are in their source's window."""
+    sources, captured = _listings(spark, sf_dir)
+    entries, _ = crawl.listing(sources, captured, ["二肖", "两肖"], most=LONGEST)
+    near = [crawl.listing_targets(entries, sources, p).select("source", "place", "slot") for p in (5, 6, 7)]
+    window = near[0].unionByName(near[1]).unionByName(near[2])
+    return entries.join(window, ["source", "place"], "left").select("source", "place", "page", "period", "url", "slot")
+
+
+def listing_status(spark, sf_dir):
+    return crawl.listing(*_listings(spark, sf_dir), ["二肖", "两肖"], most=LONGEST)[1]
+
+
+LONGEST = 12
 _USERS = f"""
     e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nth, list_position({list(TYPES)}, event_type) AS t FROM events),
     u AS (SELECT user_id AS source, user_id % 6 AS k, count(*) AS n, max(CASE WHEN nth = 2 THEN substr('{SYMBOLS}', t, 1) || substr('{SYMBOLS}', t + 5, 1) END) AS v FROM e GROUP BY user_id)"""
 
 EXPECTED = [(NEWEST - k - 1) % 365 + 1 for k in range(10)]
+_CRAWL = rf"""
+    WITH RECURSIVE p AS (
+        SELECT page_id, html, host, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS i, count(*) OVER (PARTITION BY host) AS n
+        FROM (SELECT page_id, html, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host FROM pages)),
+    c AS (SELECT *, page_id % 9 <> 5 AS there FROM p),
+    t AS (SELECT host, i, 0 AS depth, (i - i)::BIGINT AS up, 0::BIGINT AS k, [0::BIGINT] AS path FROM c WHERE i = 0 AND there
+          UNION ALL SELECT c.host, c.i, t.depth + 1, t.i, (c.i - 1) % {FAN}, list_append(t.path, (c.i - 1) % {FAN}) FROM t JOIN c ON c.host = t.host AND c.i > 0 AND (c.i - 1) // {FAN} = t.i AND c.there
+          WHERE t.depth < {crawl.LEVELS} AND (c.i - 1) % {FAN} < {NESTED}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, path) AS place FROM t),
+    d AS (SELECT * FROM o WHERE place <= {MOST})"""
+_LIST = f"""
+    WITH e AS (SELECT user_id AS source, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN user_id % 2 = 0 THEN -event_id ELSE event_id END) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    p AS (SELECT *, i // {ENTRIES} + 1 AS page, (n + {ENTRIES} - 1) // {ENTRIES} AS pages, first_value(event_id) OVER (PARTITION BY source, i // {ENTRIES} ORDER BY i) AS head FROM e),
+    s AS (SELECT source, max(pages) AS pages, CASE WHEN source % 8 = 3 AND max(pages) >= 2 THEN 'lost' WHEN max(pages) > {LONGEST} THEN 'too_long' ELSE 'ok' END AS status FROM p GROUP BY source),
+    r AS (SELECT p.source, page, i, event_id % 365 + 1 AS period, CASE WHEN event_id % 15 = 0 THEN head ELSE event_id END AS target FROM p JOIN s USING (source)
+          WHERE status = 'ok' AND event_id % 6 <> 0 AND event_id % 10 <> 0),
+    f AS (SELECT source, target, min(i) AS i, arg_min(page, i) AS page, arg_min(period, i) AS period FROM r GROUP BY ALL),
+    g AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) AS place FROM f),
+    w AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN source % 4 < 2 THEN place ELSE -place END) AS slot FROM g)"""
 ORACLE = {
+    "crawl_scan": _CRAWL + """
+        SELECT d.host AS source, place::INT AS place, depth, 'https://' || d.host || '/p/' || d.i AS url, CASE depth WHEN 0 THEN '' ELSE 'https://' || d.host || '/p/' || up END AS parent_url,
+               CASE depth WHEN 0 THEN '' ELSE '/p/' || d.i END AS link_reference, md5(html || '<iframe class=''x'' src="../p/0#top"></iframe>' || coalesce((SELECT string_agg('<iframe class=''x'' src="/p/' || j || '"></iframe>', '' ORDER BY j)
+                   FROM range(d.i * FAN + 1, d.i * FAN + FAN + 1) AS x(j) WHERE j < n), '') || '<iframe class=''x'' src="https://' || d.host || '/p/' || ((greatest(d.i, 1) - 1) // FAN) || '"></iframe><iframe class=''x'' src="https://' || d.host || '/p/' || d.i
+                   || '"></iframe><iframe class=''x'' src="https://elsewhere.example/p/1"></iframe><iframe class=''x'' src="/p/{id}"></iframe>') AS digest
+        FROM d JOIN c ON c.host = d.host AND c.i = d.i""".replace("FAN", str(FAN)),
+    "crawl_complete": _CRAWL + f"""
+        SELECT h.host AS source, count(d.i) AS n_documents, count(d.i) > 0 AND NOT coalesce(bool_or((SELECT count(*) FROM c WHERE c.host = d.host AND c.i > 0 AND (c.i - 1) // {FAN} = d.i) >
+               (SELECT count(*) FROM d AS x WHERE x.host = d.host AND x.depth > 0 AND x.up = d.i)), false) AS scan_complete
+        FROM (SELECT DISTINCT host FROM p) AS h LEFT JOIN d ON d.host = h.host GROUP BY h.host""",
+    "listing_scan": _LIST + """
+        SELECT source, place::INT AS place, page::INT AS page, period::INT AS period, 'https://l.example/t/' || target || '.html' AS url, CASE WHEN slot <= 3 AND period IN (5, 6, 7) THEN slot::INT END AS slot FROM w""",
+    "listing_status": _LIST + f" SELECT source, CASE WHEN status = 'lost' THEN 2 ELSE least(pages, {LONGEST}) END AS n_pages, status FROM s",
     "rolling_upsert_full": _history_sql(LAST_DAY + 1, False),
     "repair_rebased": _history_sql(LAST_DAY + 4, True),
     "history_walk": f"""
