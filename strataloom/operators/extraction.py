@@ -58,21 +58,24 @@ def bank_rows(text: Column, base: Column, patterns: Sequence[str] = pt.BANK, alp
     """array<struct<position, period, value, open_result, raw, valid, pattern_ord>> of patterns with groups period, zodiac and open.
 
     A value is two different symbols of the alphabet after separators are dropped; rows without one are left out, as
-    are, if semantic, rows whose text has no word of the meaning or the author's. Of rows with the same place, period
+    are, if semantic, rows whose text has no word of the meaning or the author's, and rows of the grammar's recognisers
+    whose words no rule accepts. Of rows with the same place, period
     and value the first pattern in order stays.
     """
     bank = []
     for p in patterns:
         java, names = java_pattern(p)
-        bank.append((java, (names["period"], names["zodiac"], names["open"], 0)))
+        bank.append((java, (names["period"], names["zodiac"], names["open"], 0, names.get("lead", 0), names.get("tail", 0))))
+    judged = patterns is pt.BANK
 
     def row(m: Column) -> Column:
         digits = F.translate(m["g0"], "０１２３４５６７８９", "0123456789")
         return F.struct(m["offset"].alias("offset"), digits.try_cast("int").alias("period"), tx.clean_value(m["g1"]).alias("value"),
-                        m["g2"].alias("open_result"), m["g3"].alias("raw"), m["pattern_ord"].alias("pattern_ord"))
+                        m["g2"].alias("open_result"), m["g3"].alias("raw"), m["pattern_ord"].alias("pattern_ord"), m["g4"].alias("lead"), m["g5"].alias("tail"))
 
     def good(r: Column) -> Column:
         fits = r["value"].rlike(f"^[{alphabet}]{{2}}$") & r["period"].between(1, 365)
+        fits = fits & pt.accepted(r["lead"], r["tail"]) if judged else fits
         return fits & r["raw"].rlike("(?U)" + pt.SEMANTIC) & ~F.contains(r["raw"], F.lit(pt.AUTHOR)) if semantic else fits
 
     rows = F.filter(F.transform(_ordered(text, bank), row), good)
