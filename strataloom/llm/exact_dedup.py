@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import drop_written, fresh_path, sent_if_small, written
+from strataloom.llm.common import drop_written, free_names, fresh_path, sent_if_small, written
 
 FIRST_DIGIT = 64
 GROWTH = 8
@@ -73,5 +73,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The ids of which no row stays are few: where their count allows they are sent to the texts, else both are
     shuffled. An empty table stays empty; other columns stay as they are.
     """
-    gone = exact_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias("_gone")).agg(F.bool_or("kept").alias("_any")).where("not _any").select("_gone")
-    return docs.join(sent_if_small(written(gone, "exact-gone")), F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    [name] = free_names(docs, "_gone")
+    gone = exact_groups(docs, id_col, text_col).groupBy(id_col).agg(F.bool_or("kept").alias("_any")).where("not _any").select(F.col(id_col).alias(name))
+    return docs.join(sent_if_small(written(gone, "exact-gone")), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

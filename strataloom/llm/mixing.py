@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import drop_written, written
+from strataloom.llm.common import drop_written, free_names, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
@@ -154,6 +154,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it has copies. Repeated ids must hold equal rows."""
-    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias("_id"), F.col("copies").cast("int").alias("_copies")).distinct()
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    own, times, copy = free_names(docs, "_id", "_copies", "_copy")
+    plan = mix(docs, id_col, text_col, source_col).where("copies > 0").select(F.col(id_col).alias(own), F.col("copies").cast("int").alias(times)).distinct()
+    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col(own)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
