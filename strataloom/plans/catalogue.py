@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.plans import bundles, documents, events, parsing, payloads, star
+from strataloom.plans import bundles, documents, events, parsing, payloads, sections, star
 
-QUERIES = {**events.QUERIES, **documents.QUERIES, **star.QUERIES, **parsing.QUERIES, **payloads.QUERIES, **bundles.QUERIES}
-ORACLE = {**events.ORACLE, **documents.ORACLE, **star.ORACLE, **parsing.ORACLE, **payloads.ORACLE, **bundles.ORACLE}
+QUERIES = {**events.QUERIES, **documents.QUERIES, **star.QUERIES, **parsing.QUERIES, **payloads.QUERIES, **bundles.QUERIES, **sections.QUERIES}
+ORACLE = {**events.ORACLE, **documents.ORACLE, **star.ORACLE, **parsing.ORACLE, **payloads.ORACLE, **bundles.ORACLE, **sections.ORACLE}
