@@ -44,17 +44,19 @@ def by_document(rows: DataFrame) -> DataFrame:
     top = F.col("pick") == "top"
     merged = selection.adjacent_runs(rows, keys, "position", ["period", "value", "record_id"])
     merged = merged.withColumn("position", F.when(top, F.col("first_position")).otherwise(F.col("last_position")))
-    window = selection.direction_window(merged, keys, "position", top)
-    mine = window.where(F.col("period") == F.col("requested"))
-    found = mine.groupBy(*keys).agg(
-        F.count_distinct(F.struct("value", "position")).alias("signatures"), F.min_by(F.struct("value", "position", "record_id", (F.col("slot") - 1).alias("window_index")), "slot").alias("r"))
-    edges = merged.groupBy(*keys).agg(F.min_by("period", "position").alias("_first"), F.max_by("period", "position").alias("_last"))
-    distance = F.abs(selection.period_step(F.when(top, F.col("_first")).otherwise(F.col("_last")), F.col("requested")))
+    # one window for both directions, and one aggregate: the row at its start is the newest end
+    inward = F.when(top, F.col("position")).otherwise(-F.col("position"))
+    window = merged.withColumn("slot", F.row_number().over(W.partitionBy(*keys).orderBy(inward))).where(F.col("slot") <= selection.WINDOW)
+    mine = F.col("period") == F.col("requested")
+    found = window.groupBy(*keys).agg(
+        F.min_by("period", "slot").alias("_edge"), F.count_distinct(F.when(mine, F.struct("value", "position"))).alias("signatures"),
+        F.min(F.when(mine, F.struct("slot", "value", "position", "record_id", (F.col("slot") - 1).alias("window_index")))).alias("r"))
+    distance = F.abs(selection.period_step(F.col("_edge"), F.col("requested")))
     status = (
-        F.when(distance > selection.MAX_EDGE_DISTANCE, "out_of_reach").when(F.col("signatures").isNull(), "not_found").when(F.col("signatures") > 1, "conflict")
+        F.when(distance > selection.MAX_EDGE_DISTANCE, "out_of_reach").when(F.col("signatures") == 0, "not_found").when(F.col("signatures") > 1, "conflict")
         .when(~is_selected(F.col("requested"), F.col("requested"), F.col("r.value"), F.col("r.position")), "invalid").otherwise("ok"))
     ok = F.col("status") == "ok"
-    return edges.join(found, keys, "left").withColumn("status", status).select(
+    return found.withColumn("status", status).select(
         *keys, "status", *[F.when(ok, F.col(f"r.{c}")).alias(c) for c in ("value", "position", "record_id")],
         F.when(ok, F.col("r.window_index")).otherwise(-1).cast("int").alias("window_index"))
 
@@ -64,12 +66,13 @@ def has_target(rows: DataFrame) -> DataFrame:
     return by_document(rows).groupBy("source", "requested").agg(F.bool_or(F.col("status").isin("ok", "conflict")).alias("found"))
 
 
-def by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
+def by_source(rows: DataFrame, sources: DataFrame, requested: Sequence[int] | None = None) -> DataFrame:
     """(source, requested, status, value, position, carrier, n_documents, n_ok, records): one verdict per source and period.
 
     conflict: a document contradicts itself, documents contradict each other, or their rows name several records. ok:
     the value of all documents that have one, its carrier being the first of them. Otherwise the mildest failure of a
-    document, or no_rows for a source without one. records: the different records named, in order.
+    document, or no_rows for a source without one. records: the different records named, in order. Without the list of
+    requested periods it is found in the rows, which are then read once more.
     """
     chosen = by_document(rows)
     ok = F.col("status") == "ok"
@@ -80,8 +83,8 @@ def by_source(rows: DataFrame, sources: DataFrame) -> DataFrame:
         F.min(F.when(ok, F.struct("document", "value", "position"))).alias("_carrier"),
         F.array_sort(F.collect_set(F.when(ok & (F.col("record_id") != ""), F.col("record_id")))).alias("records"))
     status = F.when(F.col("_conflict") | (F.col("_values") > 1) | (F.size("records") > 1), "conflict").when(F.col("n_ok") > 0, "ok").otherwise(F.col("_failure"))
-    periods = rows.select("requested").distinct()
-    every = sources.select("source").crossJoin(F.broadcast(periods))  # a few requested periods
+    asked = [r[0] for r in rows.select("requested").distinct().collect()] if requested is None else requested  # a few
+    every = sources.select("source").withColumn("requested", F.explode(F.array(*map(F.lit, dict.fromkeys(asked)))) if asked else F.explode(F.array().cast("array<int>")))
     out = every.join(got.withColumn("status", status), ["source", "requested"], "left")
     good = F.col("status") == "ok"
     return out.select(

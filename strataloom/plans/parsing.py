@@ -218,15 +218,15 @@ def _sources(spark: SparkSession, kind: str = "slice") -> DataFrame:
 
 def single_period(spark, sf_dir):
     """From pages to one verdict per source, for one period."""
-    return period.by_source(period.for_periods(read_rows(spark, sf_dir), [8]), _sources(spark)).select("source", "status", "value", "carrier", "n_documents", "n_ok")
+    return period.by_source(period.for_periods(read_rows(spark, sf_dir), [8]), _sources(spark), [8]).select("source", "status", "value", "carrier", "n_documents", "n_ok")
 
 
 def multi_period(spark, sf_dir):
-    return period.by_source(period.for_periods(read_rows(spark, sf_dir), PERIODS), _sources(spark)).select("source", "requested", "status", "value", "n_ok")
+    return period.by_source(period.for_periods(read_rows(spark, sf_dir), PERIODS), _sources(spark), PERIODS).select("source", "requested", "status", "value", "n_ok")
 
 
 def multi_failures(spark, sf_dir):
-    return period.failed_everywhere(period.by_source(period.for_periods(read_rows(spark, sf_dir), PERIODS), _sources(spark)))
+    return period.failed_everywhere(period.by_source(period.for_periods(read_rows(spark, sf_dir), PERIODS), _sources(spark), PERIODS))
 
 
 def window_index(spark, sf_dir):
