@@ -51,3 +51,21 @@ def success_gate(results: DataFrame, keys: list[str], ok: Column, percent: int =
     """Groups whose share of successes is strictly above the percentage, in whole numbers."""
     got = results.groupBy(*keys).agg(F.count_if(ok).alias("n_ok"), F.count("*").alias("n"))
     return got.where(F.col("n_ok") * 100 > F.col("n") * percent)
+
+
+#: What an audit as a whole comes to.
+CLEAN, SUSPECT, FAILED = 0, 1, 2
+
+
+def verdict(sources: DataFrame, history: DataFrame, findings: DataFrame, source: str, period: str, expected: int) -> DataFrame:
+    """One row: code, n_missing, n_incomplete, n_duplicate, n_suspicious of the coverage and the equal runs together.
+
+    FAILED if a source has no row of the history, or fewer periods than expected, or equals another for DUPLICATE periods;
+    SUSPECT if only shorter equal runs are found; else CLEAN.
+    """
+    per = history.groupBy(source).agg(F.count_distinct(period).alias("_n"))
+    gaps = sources.select(source).distinct().join(per, source, "left").agg(
+        F.count_if(F.col("_n").isNull()).alias("n_missing"), F.count_if(F.col("_n") < expected).alias("n_incomplete"))
+    runs = findings.agg(F.count_if(F.col("classification") == "duplicate").alias("n_duplicate"), F.count_if(F.col("classification") == "suspicious").alias("n_suspicious"))
+    code = F.when((F.col("n_missing") > 0) | (F.col("n_incomplete") > 0) | (F.col("n_duplicate") > 0), FAILED).when(F.col("n_suspicious") > 0, SUSPECT).otherwise(CLEAN)
+    return gaps.crossJoin(runs).select(code.alias("code"), "n_missing", "n_incomplete", "n_duplicate", "n_suspicious")  # one row each

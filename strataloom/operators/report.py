@@ -29,3 +29,16 @@ def report_lines(results: DataFrame, value: str, name: str, order: str, ranking:
     lines = firsts.select(F.lit(0).alias("part"), F.col("at").cast("long").alias("ordinal"), F.concat_ws(" ", value, name).alias("line"))
     tail = ranking.select(F.lit(1).alias("part"), F.col("ordinal").cast("long").alias("ordinal"), F.concat_ws("\t", symbol, "n", "rank").alias("line"))
     return lines.unionByName(tail)
+
+
+#: The payload whose records carry an article id.
+ARTICLES = "admin_article_api"
+
+
+def record_json(period: Column, value: Column, position: Column, positions: Column, kind: Column, payload: Column, record_id: Column, evidence: Column) -> Column:
+    """A record as history files hold it: without places of its own the place alone, evidence if any, the article id of article payloads."""
+    own = F.when(F.size(F.coalesce(positions, F.array().cast("array<long>"))) > 0, positions).otherwise(F.array(position.cast("long")))
+    some = F.when(F.size(evidence) > 0, evidence)
+    article = F.when((payload == ARTICLES) & (record_id != ""), record_id)
+    return F.to_json(F.struct(  # fields that are null are left out
+        period.alias("period"), value.alias("zodiac"), position.alias("position"), own.alias("source_positions"), kind.alias("position_kind"), some.alias("evidence"), article.alias("article_id")))

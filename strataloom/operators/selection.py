@@ -100,3 +100,14 @@ def steps(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
 def cycles(rows: DataFrame, keys: Sequence[str], order: str, opens: Column) -> DataFrame:
     """A running number that grows at each row that opens a cycle."""
     return rows.withColumn("cycle", F.sum(opens.cast("int")).over(W.partitionBy(*keys).orderBy(order)))
+
+
+def conflict_details(rows: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
+    """(keys, kind, details) of groups whose rows contradict each other, each candidate as value@place, in order of place and value.
+
+    kind: values (different values) or places (one value at several places). Rows that repeat are told once.
+    """
+    told = F.array_sort(F.collect_set(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
+    got = rows.groupBy(*keys).agg(F.count_distinct(value).alias("_values"), told.alias("_l")).where(F.size("_l") > 1)
+    text = F.array_join(F.transform("_l", lambda x: F.concat(x["v"], F.lit("@"), x["o"].cast("string"))), ",")
+    return got.select(*keys, F.when(F.col("_values") > 1, "values").otherwise("places").alias("kind"), text.alias("details"))

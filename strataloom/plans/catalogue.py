@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.plans import bundles, documents, events, files, parsing, payloads, sections, star
+from strataloom.plans import bundles, documents, events, files, parsing, payloads, sections, star, verdicts
 
-QUERIES = {**events.QUERIES, **documents.QUERIES, **star.QUERIES, **parsing.QUERIES, **payloads.QUERIES, **bundles.QUERIES, **sections.QUERIES, **files.QUERIES}
-ORACLE = {**events.ORACLE, **documents.ORACLE, **star.ORACLE, **parsing.ORACLE, **payloads.ORACLE, **bundles.ORACLE, **sections.ORACLE, **files.ORACLE}
+QUERIES = {**events.QUERIES, **documents.QUERIES, **star.QUERIES, **parsing.QUERIES, **payloads.QUERIES, **bundles.QUERIES, **sections.QUERIES, **files.QUERIES, **verdicts.QUERIES}
+ORACLE = {**events.ORACLE, **documents.ORACLE, **star.ORACLE, **parsing.ORACLE, **payloads.ORACLE, **bundles.ORACLE, **sections.ORACLE, **files.ORACLE, **verdicts.ORACLE}

@@ -297,3 +297,19 @@ def snapshot_period(draw: Column, topic: Column) -> Column:
     number = draw.try_cast("int")
     named = F.regexp_extract(topic, r"(?<!\d)(\d{3})(?!\d)", 1).try_cast("int")
     return F.coalesce(F.when(number.between(1, 365), number), F.when(named.between(1, 365), named))
+
+
+def exact_posts(rows: DataFrame, keys: Sequence[str], requested: Column, topic: str, nickname: Column) -> DataFrame:
+    """(keys, status, place, id): of each key's posts the one of the requested period, or why there is none.
+
+    not_published: no post has the period; conflict: several have; target_missing: its topic, author or state of
+    publication is another; field_validation: it has no id above 0; ok.
+    """
+    mine = F.col("draw").try_cast("long") == requested
+    fits = (F.col("status") == "published") & (F.trim(F.coalesce("topic", F.lit(""))) == topic) & F.coalesce(F.col("nickname") == nickname, F.lit(False))
+    got = rows.groupBy(*keys).agg(F.count_if(mine).alias("_n"), F.min(F.when(mine, F.struct("place", "id", F.coalesce(fits, F.lit(False)).alias("fits")))).alias("r"))
+    status = (
+        F.when(F.col("_n") == 0, "not_published").when(F.col("_n") > 1, "conflict").when(~F.col("r.fits"), "target_missing")
+        .when(~F.coalesce(F.col("r.id") > 0, F.lit(False)), "field_validation").otherwise("ok"))
+    ok = F.col("status") == "ok"
+    return got.withColumn("status", status).select(*keys, "status", F.when(ok, F.col("r.place")).alias("place"), F.when(ok, F.col("r.id")).alias("id"))
