@@ -415,6 +415,26 @@ def parse_pages(docs: DataFrame, keys: list[str]) -> DataFrame:
     return judged(docs, keys)
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), value being computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _repeated(rows: Column) -> Column:
+    """The least position of the rows that stand after another of their period; null if there is none. Neighbours of the sorted rows tell."""
+    later = lambda o: F.filter(o, lambda x, i: (i > 0) & (F.get(o, i - 1)["period"] == x["period"]) & (F.get(o, i - 1)["position"] < x["position"]))
+    ordered = F.array_sort(F.transform(rows, lambda r: F.struct(r["period"].alias("period"), r["position"].alias("position"))))
+    return _bound(ordered, lambda o: F.array_min(F.transform(later(o), lambda x: x["position"])))
+
+
+def _first_of_equals(rows: Column) -> Column:
+    """The rows without those that have the period, value and position of one before, in their order."""
+    key = lambda r: F.struct(r["period"].alias("p"), r["value"].alias("v"), r["position"].alias("o"))
+    ordered = F.array_sort(F.transform(rows, lambda r, i: F.struct(key(r).alias("k"), i.alias("i"), r.alias("r"))))
+    kept = _bound(ordered, lambda o: F.filter(o, lambda x, j: (j == 0) | ~x["k"].eqNullSafe(F.get(o, j - 1)["k"])))
+    return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))), lambda x: x["r"])
+
+
 def judged(docs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, parser, s, heading, ok, scope, found) -> (keys, parser, status, rows, scope): the checks on a document's list of rows."""
     s, rows = F.col("s"), F.col("rows")
@@ -434,8 +454,7 @@ def judged(docs: DataFrame, keys: list[str]) -> DataFrame:
         & (s["first"].isNull() | F.coalesce(F.array_contains(F.split(s["first"], "\\|"), period_step(h, first).cast("string")), F.lit(False))))
     # of errors the first in the order of the rows counts
     wrong = F.array_min(F.transform(F.filter("found", lambda r: ~r["valid"]), lambda r: r["position"]))
-    again = F.filter(rows, lambda r: F.exists(rows, lambda q: (q["period"] == r["period"]) & (q["position"] < r["position"])))
-    twice = F.when(s["fails"], F.array_min(F.transform(again, lambda r: r["position"])))
+    twice = F.when(s["fails"], _repeated(rows))
     docs = docs.withColumn("right", right).withColumn("wrong", wrong).withColumn("twice", twice)
     errors = s["fails"] & F.col("ok")
     status = (
@@ -482,13 +501,13 @@ def parse_posts(docs: DataFrame, keys: list[str]) -> DataFrame:
     mine = F.col("primary.rows")
 
     def contradicts(p: Column) -> Column:
-        shared = lambda r: F.exists(mine, lambda x: x["period"] == r["period"])
-        same = lambda r: F.exists(mine, lambda x: (x["period"] == r["period"]) & (x["value"] == r["value"]))
-        return p["period"].eqNullSafe(F.col("primary.period")) & F.exists(p["rows"], lambda r: shared(r) & ~same(r))
+        keyed = lambda rows: F.transform(rows, lambda r: F.struct(r["period"].alias("period"), r["value"].alias("value")))
+        other = F.transform(F.array_except(keyed(p["rows"]), keyed(mine)), lambda k: k["period"])
+        return p["period"].eqNullSafe(F.col("primary.period")) & F.coalesce(F.arrays_overlap(other, F.transform(mine, lambda r: r["period"])), F.lit(False))
 
     every = F.flatten(F.transform("posts", lambda p: p["rows"]))
     docs = docs.withColumn("every", F.transform(every, lambda r: r.withField("open_result", r["open_result"])))
-    first = F.filter("every", lambda r, i: ~F.exists(F.slice("every", 1, i), lambda q: (q["period"] == r["period"]) & (q["value"] == r["value"]) & (q["position"] == r["position"])))
+    first = _first_of_equals(F.col("every"))
     rows = (
         F.when(s["kind"].isin("posts", "topics"), first).when(s["kind"] == "single", F.when(F.size("posts") == 1, mine)).otherwise(mine))
     conflict = (s["kind"] == "snapshots") & F.exists("posts", contradicts)
