@@ -106,9 +106,9 @@ def clean_value(value: Column) -> Column:
 CHUNK = 256
 
 
-def _first(bound: Column, use) -> Column:
-    """use(value of bound), bound being computed once although use names it often: a one-element array binds it."""
-    return F.element_at(F.transform(F.array(bound), use), 1)
+def bound(value: Column, use) -> Column:
+    """use(value), the value being computed once although use names it often: a one-element array binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def running_starts(sizes: Column) -> Column:
@@ -130,7 +130,7 @@ def running_starts(sizes: Column) -> Column:
         bases = F.aggregate(F.transform(parts, lambda c: c["at"]), start, step, lambda acc: acc["starts"])
         return F.flatten(F.zip_with(parts, bases, lambda c, base: F.transform(c["starts"], lambda o: o + base)))
 
-    return _first(sizes, lambda all_: _first(chunks(all_), joined))
+    return bound(sizes, lambda all_: bound(chunks(all_), joined))
 
 
 def matches(text: Column, pattern: str | Column, groups: Sequence[int | Column] = (0,)) -> Column:
@@ -148,9 +148,9 @@ def matches(text: Column, pattern: str | Column, groups: Sequence[int | Column]
         sizes = F.zip_with(F.slice(b["gaps"], 1, F.size(b["whole"])), b["whole"], lambda gap, m: F.struct(F.char_length(gap).alias("gap"), F.char_length(m).alias("own")))
         with_starts = lambda z: F.zip_with(running_starts(F.transform(z, lambda x: x["gap"] + x["own"])), z, lambda at, x: at + x["gap"])
         row = lambda o, i: F.struct(o.alias("offset"), *[F.element_at(b[f"g{k}"], i + 1).alias(f"g{k}") for k in range(len(numbers))])
-        return F.transform(_first(sizes, with_starts), row)
+        return F.transform(bound(sizes, with_starts), row)
 
-    return _first(found, rows)
+    return bound(found, rows)
 
 
 def masked(digits: Column, shown: Column | None = None, low: int = 1, high: int = 365) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strataloom.functions.text import bound
+
 
 def first_by_content(docs: DataFrame, keys: Sequence[str], content: str, order: str) -> DataFrame:
     """Of rows with equal keys and content the first, with the content's digest and the number of copies."""
@@ -62,7 +64,7 @@ def _runs(parts: Column, n: int, between: str) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.size(b) - n + 1, F.lit(1)))
         return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(b, i, n), between))))
 
-    return F.element_at(F.transform(F.array(parts), of), 1)
+    return bound(parts, of)
 
 
 def containing(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, passage: str) -> DataFrame:

@@ -415,23 +415,18 @@ def parse_pages(docs: DataFrame, keys: list[str]) -> DataFrame:
     return judged(docs, keys)
 
 
-def _bound(value: Column, use) -> Column:
-    """use(value), value being computed once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _repeated(rows: Column) -> Column:
     """The least position of the rows that stand after another of their period; null if there is none. Neighbours of the sorted rows tell."""
     later = lambda o: F.filter(o, lambda x, i: (i > 0) & (F.get(o, i - 1)["period"] == x["period"]) & (F.get(o, i - 1)["position"] < x["position"]))
     ordered = F.array_sort(F.transform(rows, lambda r: F.struct(r["period"].alias("period"), r["position"].alias("position"))))
-    return _bound(ordered, lambda o: F.array_min(F.transform(later(o), lambda x: x["position"])))
+    return tx.bound(ordered, lambda o: F.array_min(F.transform(later(o), lambda x: x["position"])))
 
 
 def _first_of_equals(rows: Column) -> Column:
     """The rows without those that have the period, value and position of one before, in their order."""
     key = lambda r: F.struct(r["period"].alias("p"), r["value"].alias("v"), r["position"].alias("o"))
     ordered = F.array_sort(F.transform(rows, lambda r, i: F.struct(key(r).alias("k"), i.alias("i"), r.alias("r"))))
-    kept = _bound(ordered, lambda o: F.filter(o, lambda x, j: (j == 0) | ~x["k"].eqNullSafe(F.get(o, j - 1)["k"])))
+    kept = tx.bound(ordered, lambda o: F.filter(o, lambda x, j: (j == 0) | ~x["k"].eqNullSafe(F.get(o, j - 1)["k"])))
     return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))), lambda x: x["r"])
 
 

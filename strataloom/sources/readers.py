@@ -123,6 +123,7 @@ def source_violations(sources: DataFrame, parsers: Sequence[str] = ()) -> DataFr
         ("blank_name", F.trim("name") == "", F.lit("")),
         ("bad_pick", direction(F.col("pick")).isNull(), F.col("pick")),
         ("bad_url", urls.origin(F.col("url")).isNull(), F.col("url")),
+        ("repeated_parameter", F.size(urls.repeated_identity_keys(F.col("url"))) > 0, F.array_join(urls.repeated_identity_keys(F.col("url")), ",")),
         ("bad_payload", ~F.col("payload").isin(*PAYLOADS), F.col("payload")),
         ("detail_payload", F.col("detail_enrich") & (F.col("payload") != "tuku_user_forums"), F.col("payload")),
         ("unknown_parser", ~F.col("parser").isin(*parsers) if parsers else F.lit(False), F.col("parser")),

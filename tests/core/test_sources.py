@@ -26,7 +26,7 @@ def test_good_sources(spark, tmp_path):
 @pytest.mark.parametrize("change,rule", [
     ({"colour": 1}, "unknown_key"), ({"name": " "}, "blank_name"), ({"pick": "left"}, "bad_pick"), ({"url": "https://u:p@a.example.test/"}, "bad_url"),
     ({"record": "(?P<period>x)"}, "record_group"), ({"parser": "other", "strict_block": True}, "strict_parser"),
-    ({"allowed_redirect_origins": ["https://*.example.test"]}, "bad_origin"), ({"stop": "(open"}, "bad_pattern"), ({"payload": "nonsense"}, "bad_payload"),
+    ({"allowed_redirect_origins": ["https://*.example.test"]}, "bad_origin"), ({"stop": "(open"}, "bad_pattern"), ({"payload": "nonsense"}, "bad_payload"), ({"url": "https://a.example.test/x.php?id=1&ID=2"}, "repeated_parameter"),
     ({"detail_enrich": True}, "detail_payload")])
 def test_violations(spark, tmp_path, change, rule):
     assert [r.rule for r in readers.source_violations(sources(spark, tmp_path, ROW | change)).collect()] == [rule]
