@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.functions.text import bound
+from strataloom.sources.scratch import written
 
 
 def first_by_content(docs: DataFrame, keys: Sequence[str], content: str, order: str) -> DataFrame:
@@ -100,16 +101,17 @@ def containing(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_i
     return hits.select(F.col("_d").alias(doc_id), F.col("_i").alias(item_id)).distinct()
 
 
-def starting_with(rows: DataFrame, text: str, prefixes: DataFrame, prefix: str, head: str) -> DataFrame:
-    """Rows that start with a prefix of a known shape: the shape is cut off the text and joined on equality."""
-    return rows.withColumn("_head", F.regexp_extract(text, head, 1)).join(prefixes, F.col("_head") == F.col(prefix)).drop("_head")
-
-
 def reachable(links: DataFrame, starts: DataFrame, node: str, most: int) -> DataFrame:
-    """(node, depth): nodes within so many links of the starts, at their smallest depth. links: (parent, child)."""
-    seen = starts.select(F.col(node).alias("node"), F.lit(0).alias("depth"))
+    """(node, depth): nodes within so many links of the starts, at their smallest depth. links: (parent, child).
+
+    A level has only nodes that no level before had, so cycles are not walked again; levels are written, each once.
+    """
+    seen = written(starts.select(F.col(node).alias("node"), F.lit(0).alias("depth")).distinct(), "reach-level")
     level = seen
     for depth in range(1, most + 1):
-        level = level.join(links, level["node"] == links["parent"]).select(F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        further = level.join(links, level["node"] == links["parent"]).select(F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        level = written(further.join(seen.select("node"), "node", "left_anti"), "reach-level")
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen.groupBy("node").agg(F.min("depth").alias("depth"))

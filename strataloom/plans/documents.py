@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text, urls
 from strataloom.operators import extraction, linking, selection
+from strataloom.sources import readers
 
 
 #: The references that occur in the test pages, for the SQL twins; &amp; last, so that nothing is decoded twice.
@@ -99,7 +100,7 @@ def prefix_theta_join(spark, sf_dir):
     """Pages whose URL starts with one of the sources' prefixes: every prefix ends at the first slash of the path."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     prefixes = pages.select(F.regexp_extract("url", "^([a-z]+://[^/]+/)", 1).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("weight"))
-    return linking.starting_with(pages, "url", prefixes, "prefix", r"^([a-z]+://[^/]+/)").select("page_id", "prefix", "weight")
+    return readers.prefixes_met(pages, "url", prefixes, "prefix").select("page_id", "prefix", "weight")
 
 
 def cycle_segments(spark, sf_dir):
