@@ -115,3 +115,31 @@ def test_comments_go_whatever_their_size():
     assert html_text.main_text(f"<body>{ARTICLE}<ol class='comment-list'>{many}</ol></body>").split("\n") == TEXT
     plain = "".join(f"<p>Comment {k}, which is long, and says a lot. Or not?</p>" for k in range(30))
     assert html_text.main_text(f"<body><div class='post'>{ARTICLE[9:-10]}</div><div id='comments'>{plain}</div></body>").split("\n") == TEXT
+
+
+def brute_paths(found):
+    """Content paths block by block: ratios per path, Gaussian weights, product, threshold at half the mean."""
+    import math
+
+    blocks = {}
+    for s, e in found:
+        n, size, marks = blocks.get(e.path, (0, 0, 0))
+        blocks[e.path] = (n + 1, size + len(s), marks + sum(c in ".,;:!?。，、；：！？…" for c in s))
+    text, mark = ([blocks[e.path][k] / blocks[e.path][0] for _, e in found] for k in (1, 2))
+    reach = 2 if len(found) >= 5 else len(found)
+
+    def smooth(v, i):
+        near = [(math.exp(-0.5 * (i - j) ** 2), v[j]) for j in range(len(v)) if abs(i - j) <= reach]
+        return sum(w * x for w, x in near) / sum(w for w, _ in near)
+
+    score = [smooth(text, i) * (1 + smooth(mark, i)) for i in range(len(found))]
+    least = 0.5 * sum(score) / len(score)
+    assert all(abs(s - least) > 1e-9 * least for s in score)
+    return {e.path for s, (_, e) in zip(score, found) if s >= least}
+
+
+def test_content_paths_equal_brute_force(spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()] + [POST, UNNAMED, AROUND.format(ARTICLE), "<p>a, b.</p><div>c</div>", "one"]
+    for page in pages:
+        found, _ = html_text.blocks(page)
+        assert html_text.content_paths(found) == brute_paths(found)
