@@ -76,7 +76,8 @@ LEVELS = 12
 
 def json_depth(json: Column) -> Column:
     """How deep brackets are nested in a JSON text, strings left out; at least as deep as its objects and arrays are."""
-    brackets = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]+", "")
+    # escapes go first: a repeated choice of characters takes a frame of Java's stack for each of them
+    brackets = F.regexp_replace(F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), '"[^"]*"', ""), r"[^\[\]{}]+", "")
     step = lambda acc, c: F.struct((acc["at"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("at"), F.greatest(acc["most"], acc["at"] + 1).alias("most"))
     return F.aggregate(F.split(F.regexp_replace(brackets, r"^$", "{"), ""), F.struct(F.lit(0).alias("at"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
 
