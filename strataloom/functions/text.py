@@ -35,24 +35,27 @@ def code_point(number: Column) -> Column:
     return F.when(good, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, closed: bool = False) -> Column:
     """Character references decoded as HTML 5 has them: numbers, names, and old names without a semicolon.
 
+    closed: only those that a semicolon ends; a reference that is cut off stays as it is written.
+
     The names are those of Python's standard table; a number in 0x80-0x9F means its character in Windows-1252.
     """
     named = _literal_map(html5)
+    end = ";" if closed else ";?"
     old = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
     windows = {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {"0": "\ufffd", "13": "\r"}
 
     def piece(p: Column) -> Column:
-        number = F.regexp_extract(p, "^&#(?:[xX]([0-9a-fA-F]+)|[0-9]+);?", 1)
-        decimal = F.regexp_extract(p, "^&#([0-9]+);?", 1)
-        whole = F.regexp_extract(p, "^&#(?:[xX][0-9a-fA-F]+|[0-9]+);?", 0)
+        number = F.regexp_extract(p, f"^&#(?:[xX]([0-9a-fA-F]+)|[0-9]+){end}", 1)
+        decimal = F.regexp_extract(p, f"^&#([0-9]+){end}", 1)
+        whole = F.regexp_extract(p, f"^&#(?:[xX][0-9a-fA-F]+|[0-9]+){end}", 0)
         digits = F.regexp_replace(F.when(decimal != "", decimal).otherwise(F.conv(F.regexp_replace(number, "^0*(?=.)", ""), 16, 10)), "^0+(?=.)", "")
         value = F.when(F.char_length(digits) > 8, F.lit(-1).cast("long")).otherwise(digits.try_cast("long"))
         char = F.coalesce(F.element_at(_literal_map(windows), digits), code_point(value))
-        name = F.regexp_extract(p, "^&([^\\t\\n\\f <&#;]{1,32};?)", 1)
-        short = F.regexp_extract(p, f"^&({'|'.join(old)})", 1)
+        name = F.regexp_extract(p, f"^&([^\\t\\n\\f <&#;]{{1,32}}{end})", 1)
+        short = F.lit("") if closed else F.regexp_extract(p, f"^&({'|'.join(old)})", 1)
         exact = F.element_at(named, name)
         return (
             F.when(whole != "", F.concat(char, F.substring(p, F.char_length(whole) + 1, F.char_length(p))))
@@ -70,16 +73,16 @@ def strip_hidden(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, "(?is)<script.*?</script>", " "), "(?is)<style.*?</style>", " ")
 
 
-def visible_text(html: Column, unicode: bool = True) -> Column:
+def visible_text(html: Column, unicode: bool = True, closed: bool = False) -> Column:
     """All visible text on one line: markup gone, references decoded, white space collapsed, trimmed."""
-    text = decode_entities(F.regexp_replace(strip_hidden(html), "<[^>]+>", " "))
+    text = decode_entities(F.regexp_replace(strip_hidden(html), "<[^>]+>", " "), closed)
     return F.trim(F.regexp_replace(text, _space(unicode), " "))
 
 
-def visible_lines(html: Column) -> Column:
+def visible_lines(html: Column, closed: bool = False) -> Column:
     """The visible lines: block tags end a line, each is collapsed and trimmed, empty ones go."""
     text = F.regexp_replace(strip_hidden(html), f"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\\b[^>]*>", "\n")
-    text = decode_entities(F.regexp_replace(text, "<[^>]+>", " "))
+    text = decode_entities(F.regexp_replace(text, "<[^>]+>", " "), closed)
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, "[\\t\\f\\r\\x0B ]+", " ")))
     return F.filter(lines, lambda x: x != "")
 
