@@ -20,11 +20,13 @@ run misses a pair, for any number of levels; all RUNS miss one with 4e-5, far be
 tests measure recall against brute force.
 
 Within buckets sketches are compared; pairs that agree in SKETCH_LEAST coordinates (missed with probability
-4e-5 at the threshold, 4.1 deviations) make up candidate components. A component with at most BUCKET sets is
-one tile, a larger one has its buckets as tiles, with the sets that have a candidate there. In a tile all
-pairs are compared by exact Jaccard similarity and the links of a maximum spanning forest are returned. So a
-class of any size is given by verified links between its different texts, in proportion to their number, and
-never by all its pairs.
+4e-5 at the threshold, 4.1 deviations) make up candidate components. For classes alone a component with at most
+BUCKET sets is one tile, a larger one has its buckets as tiles, with the sets that have a candidate there. For the
+number of links a component is cut into blocks, and each two of its blocks, and each one, are a tile: every pair of the
+component is compared. In a tile all pairs are compared by exact Jaccard similarity; each set's links are counted, and
+those of a maximum spanning forest are returned. So a class of any size is given by verified links between its different
+texts, with the number of all links of each, and pairs are never rows. The comparisons of a component grow with the
+square of its different sets, which the count of its links asks for; a tile takes bounded memory.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ CHILDREN = 1.5
 POOL = 8
 BUCKET = 256
 SKETCH_LEAST = 38
+#: Different sets, and their shingles, in a block of a component whose links are all counted.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Coordinates in which linked sets differ, and those that a set far from the pivot shares with its partner at least.
 DIFFER = round((1 - THRESHOLD) * SIGNATURE)
 APART = SIGNATURE - SKETCH_LEAST + 1 - DIFFER
@@ -287,11 +291,12 @@ def _shingle_rows(batches):
                 [pa.array(want[i:j][same]), pa.array([sh[at[d] : at[d + 1]].tobytes() for d in same], pa.binary())], names=["k", "shingles"])
 
 
-def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of slices of their incidence matrix."""
+def _overlaps(rows: list[np.ndarray], cut: int) -> np.ndarray:
+    """Sizes of the intersections of the first cut sets with the others (cut 0: of all pairs), by products of slices of their incidence matrix."""
     n = len(rows)
     if n == 2:
-        return np.full((2, 2), float(len(np.intersect1d(*rows, assume_unique=True))))
+        both = float(len(np.intersect1d(*rows, assume_unique=True)))
+        return np.full((1, 1) if cut else (2, 2), both)
     who = np.repeat(np.arange(n), [len(r) for r in rows])
     _, col, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     rank = np.cumsum(count > 1) - 1  # only elements of two sets or more
@@ -299,44 +304,72 @@ def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
     who, col = who[shared], rank[col[shared]]
     order = np.argsort(col, kind="stable")
     who, col = who[order], col[order]
-    total, width = np.zeros((n, n)), 4096
+    total, width = np.zeros((cut or n, n - cut)), 4096
     for c in range(0, int(col[-1]) + 1 if len(col) else 0, width):
         lo, hi = np.searchsorted(col, (c, c + width))
         m = np.zeros((n, min(width, int(col[-1]) + 1 - c)), np.float32)
         m[who[lo:hi], col[lo:hi] - c] = 1
-        total += m @ m.T
+        total += m[: cut or n] @ m[cut:].T
     return total
 
 
 def _exact(batches):
-    """Rows in order of bucket -> the links of a maximum spanning forest of each bucket."""
+    """Rows in order of bucket and side -> (a, b, similarity) of a maximum spanning forest of each bucket, and (a, n): links of each set.
+
+    In a bucket that crosses two blocks each set of the first is compared with each of the second, else all with all.
+    n counts the rows that hold a linked set.
+    """
     for t in whole_groups(batches, "bucket"):
         bucket, k, sets = t["bucket"].to_numpy(), t["k"].to_numpy(), t["shingles"]
+        copies, second = t["copies"].to_numpy(), t["second"].to_numpy(zero_copy_only=False)
+        crosses = t["crosses"].to_numpy(zero_copy_only=False)
         ends = np.concatenate([np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-        a, b, similarity, at = [], [], [], 0
+        a, b, similarity, linked, count, at = [], [], [], [], [], 0
         for end in ends.tolist():
-            own = k[at:end]
-            rows = [np.frombuffer(s, np.uint64) for s in sets.slice(at, end - at).to_pylist()]
-            size = np.array([len(r) for r in rows])
-            inter = _overlaps(rows)
-            union = size[:, None] + size[None, :] - inter
-            x, y = np.nonzero(np.triu(inter >= THRESHOLD * union - 1e-9, 1))
-            w = inter[x, y] / union[x, y]
-            e = spanning(len(own), x, y, w)
-            a.append(own[x[e]])
-            b.append(own[y[e]])
-            similarity.append(w[e])
+            own, held = k[at:end], copies[at:end]
+            cut = int((~second[at:end]).sum()) if crosses[at] else 0
+            if len(own) > 1 and not (crosses[at] and cut in (0, len(own))):
+                rows = [np.frombuffer(s, np.uint64) for s in sets.slice(at, end - at).to_pylist()]
+                size = np.array([len(r) for r in rows])
+                inter = _overlaps(rows, cut)
+                union = size[: cut or None, None] + size[None, cut:] - inter
+                hit = inter >= THRESHOLD * union - 1e-9
+                x, y = np.nonzero(hit if cut else np.triu(hit, 1))
+                w = inter[x, y] / union[x, y]
+                y += cut
+                e = spanning(len(own), x, y, w)
+                a.append(own[x[e]])
+                b.append(own[y[e]])
+                similarity.append(w[e])
+                n = np.bincount(x, held[y], len(own)) + np.bincount(y, held[x], len(own))
+                some = np.flatnonzero(n)
+                linked.append(own[some])
+                count.append(n[some].astype(np.int64))
             at = end
-        yield pa.record_batch([pa.array(np.concatenate(c)) for c in (a, b, similarity)], names=["a", "b", "similarity"])
+        if a:
+            a, b, similarity, linked, count = (pa.array(np.concatenate(c)) for c in (a, b, similarity, linked, count))
+            none = lambda like, to: pa.nulls(len(like), to)
+            yield pa.record_batch([a, b, similarity, none(a, pa.int64())], names=["a", "b", "similarity", "n"])
+            yield pa.record_batch([linked, none(linked, pa.int64()), none(linked, pa.float64()), count], names=["a", "b", "similarity", "n"])
 
 
-def _in_buckets(rows: DataFrame) -> DataFrame:
+def _in_buckets(rows: DataFrame, *then: str) -> DataFrame:
     """Rows in order of bucket, the same sets first in all, so that links of many buckets name the same ones."""
-    return rows.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("k", F.lit(FIRST)))
+    return rows.repartition("bucket").sortWithinPartitions("bucket", *then, F.xxhash64("k", F.lit(FIRST)))
+
+
+def _block_tiles(comps: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, k) -> (bucket, k, copies, second, crosses): each block of a component and each two of them are a bucket."""
+    rows = comps.select("bucket", "k").join(sets.select("k", "n", "copies"), "k")
+    size = rows.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    rows = rows.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("k", F.lit(FIRST + POOL)), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    own, other = F.col("own"), F.col("other")
+    return rows.select(F.xxhash64("bucket", F.least(own, other), F.greatest(own, other)).alias("bucket"), "k", "copies", (own > other).alias("second"), (own != other).alias("crosses"))
 
 
-def _links(rows: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, similarity): verified links that span every class of sets."""
+def _links(rows: DataFrame, sets: DataFrame, docs: DataFrame, every: bool) -> DataFrame:
+    """(a, b, similarity, n): verified links that span every class of sets (n is null); if every link is counted also a's number of linked rows in n (b is null)."""
     leaves, stars = _buckets(sets)
     sketched = leaves.join(sets.select("k", "sig"), "k").select("bucket", "k", "base", "sig")
     comps = components(_in_buckets(sketched).mapInArrow(_sketch_edges, "a long, b long").unionByName(stars), "jaccard-candidates")
@@ -345,25 +378,29 @@ def _links(rows: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     comps = written(comps.join(sizes, "bucket"), "jaccard-components")
     tiles = comps.where(F.col("size") <= BUCKET).select("bucket", "k")
     large = comps.where(F.col("size") > BUCKET).select("k")
-    if not large.isEmpty():
+    if every:
+        tiles = _block_tiles(comps, sets)
+    elif not large.isEmpty():
         tiles = tiles.unionByName(_in_buckets(sketched.join(sent_if_small(large), "k", "left_semi")).mapInArrow(_with_candidates, "bucket long, k long"))
+    if not every:
+        tiles = tiles.select("bucket", "k", F.lit(1).cast("long").alias("copies"), F.lit(False).alias("second"), F.lit(False).alias("crosses"))
     # a small part of the texts is needed: where their ids fit they go to the texts, else both are shuffled
     wanted = sent_if_small(written(sets.join(comps, "k").select("k", F.col("id").alias("_id")), "jaccard-wanted"))
     text = docs.join(wanted, docs["id"].eqNullSafe(F.col("_id"))).select("k", "text")
     shingles = text.mapInArrow(_shingle_rows, "k long, shingles binary").dropDuplicates(["k"])
-    found = _in_buckets(tiles.join(shingles, "k").select("bucket", "k", "shingles")).mapInArrow(_exact, "a long, b long, similarity double")
-    found = written(found, "jaccard-links")
+    found = _in_buckets(tiles.join(shingles, "k"), "second").mapInArrow(_exact, "a long, b long, similarity double, n long")
+    found = written(found if every else found.where("b is not null"), "jaccard-links")
     drop_written(leaves, stars, comps)
     return found
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (id, k, n) of all documents, their different sets (k, id, n, sig), and the links between sets."""
+def _joined(docs: DataFrame, id_col: str, text_col: str, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, k, n) of all documents, their different sets (k, id, n, sig, copies), and the links between sets, all of them counted if every."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(docs.mapInArrow(_sketch, "id long, k long, n int, sig array<int>"), "jaccard-rows")
-    sets = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    sets = rows.where("n > 0").groupBy("k").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
     sets = written(sets, "jaccard-sets")
-    return rows, sets, _links(rows, sets, docs)
+    return rows, sets, _links(rows, sets, docs, every)
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,15 +409,17 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     All have Jaccard similarity THRESHOLD or more. They span every class, so no two linked texts are in
     different classes; of the pairs of a class only those of spanning forests are listed.
     """
-    _, sets, found = _joined(docs, id_col, text_col)
+    _, sets, found = _joined(docs, id_col, text_col, False)
     name = sets.select("k", "id")
     found = found.join(name.select(F.col("k").alias("a"), F.col("id").alias("first")), "a").join(name.select(F.col("k").alias("b"), F.col("id").alias("second")), "b")
     return found.select(F.least("first", "second").alias("a"), F.greatest("first", "second").alias("b"), "similarity").distinct()
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, class_id, rep_id, linked_id, similarity, kept.
+    """One row per input row: id, class_id, rep_id, linked_id, similarity, n_links, kept.
 
+    n_links is the number of other rows that the row is linked with directly: those with an equal set and those whose
+    set has Jaccard similarity THRESHOLD or more with its own.
     class_id is the smallest id that links lead to, kept marks the row with that id. rep_id, the smallest id
     with an equal set, stands for the row's copies in the links; linked_id stands for the most similar other
     set that it has a verified link with, and similarity is theirs; both are null where a set has none. Null
@@ -388,25 +427,35 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one; a null id never names a class that has others. Long texts are taken whole; other columns are ignored;
     an empty table gives no rows.
     """
-    rows, sets, found = _joined(docs, id_col, text_col)
+    return _classes(docs, id_col, text_col, True)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, every: bool) -> DataFrame:
+    """As jaccard_classes(); without n_links unless every link is counted."""
+    rows, sets, found = _joined(docs, id_col, text_col, every)
+    counts = found.where("b is null").groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("others"))
+    found = found.where("b is not null").select("a", "b", "similarity")
     classes = components(found.select("a", "b"), "jaccard-classes")
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     best = both.groupBy(F.col("a").alias("k")).agg(F.max(F.struct("similarity", F.col("b").alias("other"))).alias("best"))
     best = best.select("k", "best.similarity", F.col("best.other").alias("other"))
-    name = sets.select("k", "id")
+    name = sets.select("k", "id", "copies")
     best = best.join(name.select(F.col("k").alias("other"), F.col("id").alias("linked_id")), "other").drop("other")
+    if every:
+        name = name.join(counts, "k", "left").withColumn("n_links", F.coalesce("others", F.lit(0)) + F.col("copies") - 1).drop("others")
+    more = ["n_links"] if every else []
     per = name.join(best, "k", "left").join(classes.select(F.col("id").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     first = per.groupBy("root").agg(F.min("id").alias("class_id"))
-    per = per.join(first, "root").select("k", "class_id", F.col("id").alias("rep_id"), "linked_id", "similarity")
+    per = per.join(first, "root").select("k", "class_id", F.col("id").alias("rep_id"), "linked_id", "similarity", *more)
     out = rows.where("n > 0").select("id", "k").join(per, "k").drop("k")
     none = F.lit(None)
     out = out.unionByName(rows.where("n = 0").select(
-        "id", F.col("id").alias("class_id"), F.col("id").alias("rep_id"), none.cast("long").alias("linked_id"), none.cast("double").alias("similarity")))
-    return out.select(F.col("id").alias(id_col), "class_id", "rep_id", "linked_id", "similarity", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+        "id", F.col("id").alias("class_id"), F.col("id").alias("rep_id"), none.cast("long").alias("linked_id"), none.cast("double").alias("similarity"), *[F.lit(0).cast("long").alias(c) for c in more]))
+    return out.select(F.col("id").alias(id_col), "class_id", "rep_id", "linked_id", "similarity", *more, F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def jaccard_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay: of each class the one with the smallest id; all rows of an id that stays."""
     [name] = free_names(docs, "_gone")
-    gone = jaccard_classes(docs, id_col, text_col).groupBy(id_col).agg(F.bool_or("kept").alias("_any")).where("not _any").select(F.col(id_col).alias(name))
+    gone = _classes(docs, id_col, text_col, False).groupBy(id_col).agg(F.bool_or("kept").alias("_any")).where("not _any").select(F.col(id_col).alias(name))
     return docs.join(sent_if_small(written(gone, "jaccard-gone")), F.col(id_col).eqNullSafe(F.col(name)), "left_anti")
