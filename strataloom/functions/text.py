@@ -101,8 +101,7 @@ def without_separators(value: Column) -> Column:
 
 def clean_value(value: Column) -> Column:
     """As without_separators; a doubled symbol is no value."""
-    v = without_separators(value)
-    return F.when((F.char_length(v) == 2) & (F.substring(v, 1, 1) == F.substring(v, 2, 1)), "").otherwise(v)
+    return bound(without_separators(value), lambda v: F.when((F.char_length(v) == 2) & (F.substring(v, 1, 1) == F.substring(v, 2, 1)), "").otherwise(v))
 
 
 #: Elements of a chunk of running_starts.

@@ -294,15 +294,15 @@ def _rows(text: Column, s: Column, base: Column) -> Column:
     """array<ROW> of the row pattern's matches in a text that begins at base."""
     found = tx.matches(text, s["row"], (s["period_group"], s["value_group"], s["open_group"], F.lit(0)))
     picks = lambda m: F.regexp_extract_all(m["g1"], F.lit(f"({Z})"), F.lit(1))
-    ten = lambda m: F.when((F.size(picks(m)) == 10) & (F.size(F.array_distinct(picks(m))) == 10), F.array_join(tx.complement(list(SYMBOLS), picks(m)), "")).otherwise("")
+    ten = lambda m: tx.bound(picks(m), lambda p: F.when((F.size(p) == 10) & (F.size(F.array_distinct(p)) == 10), F.array_join(tx.complement(list(SYMBOLS), p), "")).otherwise(""))
 
     def row(m: Column) -> Column:
         value = F.when(s["kind"] == "picks", ten(m)).otherwise(tx.clean_value(m["g1"]))
         digits = F.translate(m["g0"], "０１２３４５６７８９", "0123456789")
-        return F.struct(
-            (base + m["offset"]).alias("position"), digits.try_cast("int").alias("period"), value.alias("value"),
+        return tx.bound(value, lambda v: F.struct(
+            (base + m["offset"]).alias("position"), digits.try_cast("int").alias("period"), v.alias("value"),
             F.when(s["open_group"] > 0, m["g2"]).otherwise("").alias("open_result"), m["g3"].alias("raw"),
-            (F.char_length(value) == 2).alias("valid"))
+            (F.char_length(v) == 2).alias("valid")))
 
     return F.transform(found, row)
 
@@ -310,17 +310,18 @@ def _rows(text: Column, s: Column, base: Column) -> Column:
 def _chunk_rows(text: Column, s: Column, base: Column) -> Column:
     """array<ROW> of the fields of each chunk; a chunk goes from one period's heading to the next."""
     head = "(?U)" + CHUNK.replace("(?P<", "(?<")
-    gaps = F.split(text, head, -1)
 
-    def chunk(h: Column, i: Column) -> Column:
-        body = F.element_at(gaps, i + 2)
+    def fields(h: Column, body: Column) -> Column:
         opened = F.regexp_extract(body, "(?U)" + CHUNK_OPEN, 1)
+        start, period = base + h["offset"] + F.char_length(h["g1"]), h["g0"].try_cast("int")
+        row = lambda m, o, v: F.struct(
+            (start + m["offset"]).alias("position"), period.alias("period"), v.alias("value"), o.alias("open_result"), m["g1"].alias("raw"), (F.char_length(v) == 2).alias("valid"))
         own = tx.matches(body, s["row"], (s["value_group"], F.lit(0)))
-        return F.transform(own, lambda m: F.struct(
-            (base + h["offset"] + F.char_length(h["g1"]) + m["offset"]).alias("position"), h["g0"].try_cast("int").alias("period"), tx.clean_value(m["g0"]).alias("value"),
-            opened.alias("open_result"), m["g1"].alias("raw"), (F.char_length(tx.clean_value(m["g0"])) == 2).alias("valid")))
+        return tx.bound(opened, lambda o: F.transform(own, lambda m: tx.bound(tx.clean_value(m["g0"]), lambda v: row(m, o, v))))
 
-    return F.flatten(F.transform(tx.matches(text, head, (1, 0)), chunk))
+    # what lies between the headings is split off once for all chunks
+    cut = F.struct(F.slice(F.split(text, head, -1), 2, F.size(F.split(text, head, -1))).alias("bodies"), tx.matches(text, head, (1, 0)).alias("heads"))
+    return tx.bound(cut, lambda c: F.flatten(F.zip_with(c["heads"], c["bodies"], fields)))
 
 
 def _step(rows: Column, i: Column) -> Column:
@@ -530,14 +531,25 @@ def placed(parsed: DataFrame) -> DataFrame:
         pattern = F.array_join(F.transform(tokens, lambda t: F.concat(F.lit("\\Q"), t, F.lit("\\E"))), r"(?U:\s+)")
         return F.transform(tx.matches(F.col("scope"), pattern), lambda m: m["offset"])
 
+    def stands(r: Column) -> Column:
+        """Whether a search for the row's text is sure to find its own place, as no text equal to it begins within its length before."""
+        size = F.char_length(r["raw"])
+        low = F.greatest(r["position"] - size + 1, F.lit(0))
+        near = F.substring(F.col("scope"), low + 1, r["position"] - low + size)
+        return F.col("plain") & (r["raw"] == F.trim(r["raw"])) & (size > 0) & (r["position"] >= 0) & (F.instr(near, r["raw"]) == r["position"] - low + 1)
+
+    def searched(acc: Column, r: Column) -> Column:
+        return tx.bound(F.array_except(places(r["raw"]), acc["used"]), lambda free: F.when(F.array_contains(free, r["position"]), r["position"]).when(F.size(free) == 1, F.get(free, F.lit(0))))
+
     def place(acc: Column, r: Column) -> Column:
-        free = F.array_except(places(r["raw"]), acc["used"])
-        at = F.when(F.array_contains(free, r["position"]), r["position"]).when(F.size(free) == 1, F.get(free, F.lit(0)))
-        good = acc["good"] & at.isNotNull()
-        return F.when(good, F.struct(F.array_append(acc["used"], at).alias("used"), F.array_append(acc["rows"], r.withField("position", at)).alias("rows"), F.lit(True).alias("good"))).otherwise(
-            F.struct(acc["used"].alias("used"), acc["rows"].alias("rows"), F.lit(False).alias("good")))
+        at = F.when(F.coalesce(stands(r), F.lit(False)) & ~F.array_contains(acc["used"], r["position"]), r["position"]).otherwise(searched(acc, r))
+        lost = F.struct(acc["used"].alias("used"), acc["rows"].alias("rows"), F.lit(False).alias("good"))
+        found = lambda o: F.struct(F.array_append(acc["used"], o).alias("used"), F.array_append(acc["rows"], r.withField("position", o)).alias("rows"), F.lit(True).alias("good"))
+        return F.when(~acc["good"], acc).otherwise(tx.bound(at, lambda o: F.when(o.isNotNull(), found(o)).otherwise(lost)))
 
+    # where single spaces are all the white space, a row's text matches nothing but itself
+    parsed = parsed.withColumn("plain", ~F.rlike("scope", F.lit(r"(?U)\s\s|[^\S ]")))
     out = parsed.withColumn("proof", F.aggregate("rows", start, place))
     bad = (F.col("status") == "ok") & ~F.col("proof.good")
     rows = F.array_sort(F.col("proof.rows"))  # position is the first field
-    return out.withColumn("rows", F.when(bad, F.slice("rows", 1, 0)).otherwise(rows)).withColumn("status", F.when(bad, "field_validation").otherwise(F.col("status"))).drop("proof")
+    return out.withColumn("rows", F.when(bad, F.slice("rows", 1, 0)).otherwise(rows)).withColumn("status", F.when(bad, "field_validation").otherwise(F.col("status"))).drop("proof", "plain")
