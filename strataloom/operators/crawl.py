@@ -119,10 +119,11 @@ def listing(sources: DataFrame, captured: DataFrame, markers: list[str], most: i
     seen, every, ends, made = level.limit(0), None, [], []
     for number in range(1, most + 1):
         here = level.join(pages, F.col("url") == F.col("_url"), "left").drop("_url")
-        links = listing_links(F.col("text"))
+        here = here.withColumn("links", listing_links(F.col("text")))  # a column, as what is named often would be computed as often
         same = lambda u: (F.lower(urls.authority(u)) == F.lower(urls.authority(F.col("url")))) & (F.lower(urls.path(u)) == F.lower(urls.path(F.col("url"))))
-        further = F.filter(F.transform(F.filter(links, lambda x: F.contains(x["title"], F.lit(NEXT))), lambda x: urls.resolved(F.col("url"), x["href"])), same)
-        page = written(here.select("source", "url", F.lit(number).alias("page"), F.col("text").isNull().alias("lost"), links.alias("links"), urls.without_fragment(F.get(further, F.lit(0))).alias("next")), "listing-page")
+        further = F.filter(F.transform(F.filter("links", lambda x: F.contains(x["title"], F.lit(NEXT))), lambda x: urls.resolved(F.col("url"), x["href"])), same)
+        here = here.withColumn("next", F.get(further, F.lit(0)))
+        page = written(here.select("source", "url", F.lit(number).alias("page"), F.col("text").isNull().alias("lost"), "links", urls.without_fragment(F.col("next")).alias("next")), "listing-page")
         made.append(page)
         every = page if every is None else every.unionByName(page)
         seen = seen.unionByName(page.select("source", "url"))
