@@ -121,31 +121,43 @@ def vector_sum(df: DataFrame, part, size: int, blocks: int = 32):
     part maps an iterator of Arrow batches to one numpy vector; only the sum, of fixed size, comes to the
     driver. Partial sums are added in the order of their partitions, so reruns over the same files agree.
     """
+    from pyspark import TaskContext
+
+    def parts(batches):
+        v = part(batches)
+        if v is not None:
+            yield TaskContext.get().partitionId(), 1.0, v
+
+    return scaled_sum(df, parts, size, blocks)
+
+
+def scaled_sum(df: DataFrame, parts, size: int, blocks: int = 32):
+    """Sum of vectors of a fixed size times their scales, as vector_sum() has it.
+
+    parts maps an iterator of Arrow batches to any number of (place, scale, vector), vectors of float32 or float64; they
+    are sent as they are, scaled where they are added in float64, in the order of their places.
+    """
     import numpy as np
     import pyarrow as pa
-    from pyspark import TaskContext
 
     step = -(-size // blocks)
 
     def emit(batches):
-        v = part(batches)
-        if v is None:
-            return
-        at = TaskContext.get().partitionId()
-        cut = [v[i : i + step].tobytes() for i in range(0, size, step)]
-        yield pa.record_batch(
-            [pa.array(range(len(cut)), pa.int32()), pa.array([at] * len(cut), pa.int32()), pa.array(cut, pa.binary())],
-            names=["block", "at", "v"])
+        for at, scale, v in parts(batches):
+            cut = [v[i : i + step].tobytes() for i in range(0, size, step)]
+            yield pa.record_batch(
+                [pa.array(range(len(cut)), pa.int32()), pa.array([at] * len(cut), pa.int32()), pa.array([scale] * len(cut), pa.float64()),
+                 pa.array([v.itemsize] * len(cut), pa.int32()), pa.array(cut, pa.binary())], names=["block", "at", "scale", "width", "v"])
 
     def add(t: pa.Table) -> pa.Table:
         order = np.argsort(t["at"].to_numpy())
-        parts = t["v"].to_pylist()
-        total = np.zeros(len(parts[0]) // 8)
+        scales, widths, parts = t["scale"].to_numpy(), t["width"].to_numpy(), t["v"].to_pylist()
+        total = np.zeros(len(parts[0]) // widths[0])
         for i in order:
-            total += np.frombuffer(parts[i])
+            total += np.frombuffer(parts[i], f"f{widths[i]}").astype(np.float64) * scales[i]
         return pa.table({"block": t["block"][:1], "v": pa.array([total.tobytes()], pa.binary())})
 
-    rows = df.mapInArrow(emit, "block int, at int, v binary").groupBy("block").applyInArrow(add, "block int, v binary").collect()
+    rows = df.mapInArrow(emit, "block int, at int, scale double, width int, v binary").groupBy("block").applyInArrow(add, "block int, v binary").collect()
     out = np.zeros(size)
     for r in rows:
         v = np.frombuffer(r["v"])

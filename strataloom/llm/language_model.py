@@ -8,7 +8,7 @@ unseen words have as well. P(token | history) = P(class | history) * P(token | c
   the previous token, the two skip tokens before it, and the pair of the last two (ORDERS features). They are
   trained by gradient steps: each shard of documents runs Adagrad over its minibatches in order, the shards' weights
   are averaged by tokens on the executors, and the next round starts from the mean; every training document is
-  used in exactly one of ROUNDS rounds. The table grows with the training tokens up to a size that may be sent;
+  used in exactly one of ROUNDS rounds. A shard sends its weights once, however many partitions its rows are dealt over. The table grows with the training tokens up to a size that may be sent;
   shards grow in number with them.
 * P(token | class) is a softmax of log(count + 0.5) over the class's tokens and one unknown token, from counts
   over all training documents.
@@ -20,6 +20,8 @@ with the full table of counts. Tokens are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.llm import textkit as tk
-from strataloom.llm.common import vector_sum, written
+from strataloom.llm.common import scaled_sum, written
 
 FREQUENT = 12
 SHAPES = 19
@@ -131,10 +133,21 @@ def _logits(w: np.ndarray, f: np.ndarray) -> np.ndarray:
     return z
 
 
+def _shards(batches):
+    """Batches in order of their shard -> (shard, its batches)."""
+    pieces = (b.slice(i, j - i) for b in batches for i, j in _runs(b.column("shard").to_numpy()))
+    return groupby(pieces, lambda b: b.column("shard")[0].as_py())
+
+
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])) if len(values) else np.zeros(1, np.int64)
+    return list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+
+
 def _train(weights: np.ndarray, frequent: np.ndarray):
-    """One task's share of a round: its weights times its tokens, and its tokens in the last place."""
+    """Of each shard its place, its tokens and the weights that it comes to, with a one behind them (so that sums count the tokens)."""
 
-    def part(batches):
+    def one(batches):
         w = weights.astype(np.float32).copy()
         slots = len(w) - 1
         power = np.full(w.shape, POWER, np.float32)
@@ -162,9 +175,14 @@ def _train(weights: np.ndarray, frequent: np.ndarray):
                     g = z.sum(axis=0)
                     power[-1] += g * g
                     w[-1] -= RATE * g / np.sqrt(power[-1])
-        return np.append(w.astype(np.float64).ravel() * total, total)
+        return w, total
+
+    def parts(batches):
+        for shard, own in _shards(batches):
+            w, total = one(own)
+            yield shard, float(total), np.append(w.ravel(), np.float32(1))
 
-    return part
+    return parts
 
 
 def _score(weights, frequent, keys, logs, norm):
@@ -251,8 +269,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Lang
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
     for k in range(ROUNDS):
         share = rows.where(F.pmod(F.xxhash64(name, F.lit(31)), F.lit(ROUNDS)) == k)
-        share = share.repartition(shards, F.xxhash64(name, F.lit(37))).sortWithinPartitions("id", "text").select("text")
-        total = vector_sum(share, _train(weights, frequent), weights.size + 1)
+        share = share.withColumn("shard", F.pmod(F.hash(F.xxhash64(name, F.lit(37))), F.lit(shards)))
+        share = share.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "id", "text").select("shard", "text")
+        total = scaled_sum(share, _train(weights, frequent), weights.size + 1)
         if total[-1]:
             weights = (total[:-1] / total[-1]).reshape(weights.shape).astype(np.float32)
     return LanguageModel(counts, tokens, types, weights, frequent, keys, known_counts, norm)
