@@ -33,7 +33,9 @@ MIN_BAGS = 5
 LEAST_Z = 5.0
 STEPS = 40
 RATE = 0.4
-L2 = 1e-4
+#: What holds weights near zero, in bags: as much as this part of one bag with the word, however many bags are learned from, so that a word
+#: of few bags that are all toxic is not outweighed in large samples.
+PRIOR = 0.05
 START = -7.0
 #: Letters, digits, and all bytes of non-ASCII characters make up words; everything else separates them.
 APART = np.ones(256, dtype=bool)
@@ -189,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         g = vector_sum(sample, _gradient(weights), dim + 3)
         total = max(g[dim + 2], 1.0)
         g = g[: dim + 1] / total
-        g[:dim] += L2 * weights[:dim]
+        g[:dim] += PRIOR * weights[:dim] / total
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         weights = weights - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
     drop_written(texts, sample)
