@@ -549,7 +549,11 @@ def placed(parsed: DataFrame) -> DataFrame:
 
     # where single spaces are all the white space, a row's text matches nothing but itself
     parsed = parsed.withColumn("plain", ~F.rlike("scope", F.lit(r"(?U)\s\s|[^\S ]")))
-    out = parsed.withColumn("proof", F.aggregate("rows", start, place))
+    # where all rows stand at places of their own there is nothing to walk through, as a fold copies what it has so far with each row
+    own = lambda p: F.size(F.array_distinct(p)) == F.size(p)
+    clear = tx.bound(F.transform("rows", lambda r: r["position"]), own) & F.forall("rows", lambda r: F.coalesce(stands(r), F.lit(False)))
+    kept = F.struct(F.array().cast("array<int>").alias("used"), F.col("rows"), F.lit(True).alias("good"))
+    out = parsed.withColumn("proof", F.when(clear, kept).otherwise(F.aggregate("rows", start, place)))
     bad = (F.col("status") == "ok") & ~F.col("proof.good")
     rows = F.array_sort(F.col("proof.rows"))  # position is the first field
     return out.withColumn("rows", F.when(bad, F.slice("rows", 1, 0)).otherwise(rows)).withColumn("status", F.when(bad, "field_validation").otherwise(F.col("status"))).drop("proof", "plain")
