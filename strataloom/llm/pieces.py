@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.textkit import byte_slices, gathered
+from strataloom.llm.textkit import SMALL_SLICE, byte_slices, gathered
 
 MARK = "▁"
 RUNS = re.compile(r" *[^ ]+| +$")
@@ -38,7 +38,6 @@ UNKNOWN_PENALTY = 10.0
 RUNS_OF_SPACES = r"  |^ | $| \n"
 #: Words up to so many characters are remembered, and so many words and pairs of pieces; then the memo starts anew.
 SHORT, WORDS, PAIRS = 40, 200_000, 400_000
-SLICE = 1 << 20
 
 
 def _fields(raw: bytes):
@@ -290,7 +289,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         pieces = Pieces.of(model)
         for b in batches:
-            for i, j, _, _ in byte_slices(b.column("text"), SLICE):
+            for i, j, _, _ in byte_slices(b.column("text"), SMALL_SLICE):
                 ids, n = pieces.encode_all(b.column("text").slice(i, j - i))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
                 out = [b.column("id").slice(i, j - i), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(ids))]

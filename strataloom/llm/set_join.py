@@ -93,7 +93,7 @@ def _signatures(sh: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _sketch(batches):
     for b in batches:
         ids = b.column("id")
-        for i, j, buf, offs in tk.byte_slices(b.column("text")):
+        for i, j, buf, offs in tk.byte_slices(b.column("text"), tk.SMALL_SLICE):
             sh, at = _sets(buf, offs)
             sig = _signatures(sh, at)
             yield pa.record_batch(
@@ -284,7 +284,7 @@ def _shingle_rows(batches):
     """(k, text) -> (k, shingles): texts whose set has the name that was asked for."""
     for b in batches:
         want = b.column("k").to_numpy()
-        for i, j, buf, offs in tk.byte_slices(b.column("text")):
+        for i, j, buf, offs in tk.byte_slices(b.column("text"), tk.SMALL_SLICE):
             sh, at = _sets(buf, offs)
             same = np.flatnonzero(_names(sh, at) == want[i:j])
             yield pa.record_batch(

@@ -7,6 +7,7 @@ word in a handful of array operations.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Texts are taken in slices of about so many bytes, so that work arrays stay small whatever the batch.
 SLICE = 1 << 20
+#: Where stages follow each other in the same workers, slices are smaller: work arrays take 8 bytes and more for a byte of text.
+SMALL_SLICE = 1 << 18
 
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -48,8 +51,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Memory that is free goes back to the system: a worker that waits for its next stage holds none of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def byte_slices(col: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of whole texts; a null text is empty."""
+    """(first row, end row, bytes, offsets) of runs of whole texts; a null text is empty. Gives memory back at the end."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if isinstance(col, pa.ChunkedArray):
@@ -66,6 +77,7 @@ def byte_slices(col: pa.Array | pa.ChunkedArray, limit: int = SLICE) -> Iterator
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
 
 
 def word_bounds(buf: np.ndarray, offs: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

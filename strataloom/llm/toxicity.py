@@ -95,7 +95,7 @@ def _features(batches, known: np.ndarray | None = None):
     """(doc_id, text, toxic) -> one row per slice: labels, sentences per bag, words per sentence, features."""
     for b in batches:
         toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-        for i, j, buf, offs in tk.byte_slices(b.column("text")):
+        for i, j, buf, offs in tk.byte_slices(b.column("text"), tk.SMALL_SLICE):
             f, s, d, _, _ = bags(buf, offs, known)
             yield pa.record_batch(
                 [pa.array([x.tobytes()], pa.binary()) for x in (
@@ -141,7 +141,7 @@ def _word_counts(batches):
     """(text, toxic) -> (h, n, hit): bags with each word and toxic bags with it, combined slice by slice."""
     for b in batches:
         toxic = b.column("toxic").to_numpy(zero_copy_only=False)
-        for i, j, buf, offs in tk.byte_slices(b.column("text")):
+        for i, j, buf, offs in tk.byte_slices(b.column("text"), tk.SMALL_SLICE):
             starts, ends, first = tk.word_bounds(buf, offs, APART)
             if not len(starts):
                 continue
@@ -211,7 +211,7 @@ def score(docs: DataFrame, weights: np.ndarray | Model, id_col: str = "doc_id",
             n = b.num_rows
             a, worst, count, bad = np.zeros(n), np.full((n, 2), -1, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
             top = np.zeros(n)
-            for i, j, buf, offs in tk.byte_slices(b.column("text")):
+            for i, j, buf, offs in tk.byte_slices(b.column("text"), tk.SMALL_SLICE):
                 f, s, d, lo, hi = bags(buf, offs, keys)
                 if not len(d):
                     continue
@@ -239,7 +239,7 @@ def offending_sentences(docs: DataFrame, weights: np.ndarray | Model, least: flo
     def run(batches):
         for b in batches:
             ids = b.column("id")
-            for i, _, buf, offs in tk.byte_slices(b.column("text")):
+            for i, _, buf, offs in tk.byte_slices(b.column("text"), tk.SMALL_SLICE):
                 f, s, d, lo, hi = bags(buf, offs, keys)
                 z = weights[-1] + np.bincount(s, weights[f], minlength=len(d)) if len(d) else np.zeros(0)
                 p = 1 / (1 + np.exp(-z))
@@ -268,7 +268,7 @@ def clean(docs: DataFrame, weights: np.ndarray | Model, least: float = 0.5, text
     def run(batches):
         for b in batches:
             a = np.zeros(b.num_rows)
-            for i, j, buf, offs in tk.byte_slices(b.column(text_col)):
+            for i, j, buf, offs in tk.byte_slices(b.column(text_col), tk.SMALL_SLICE):
                 f, s, d, _, _ = bags(buf, offs, keys)
                 if len(d):
                     a[i:j] = np.bincount(d, softplus(weights[-1] + np.bincount(s, weights[f], minlength=len(d))), minlength=j - i)
