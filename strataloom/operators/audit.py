@@ -9,32 +9,83 @@ from pyspark.sql import functions as F
 SUSPICIOUS, DUPLICATE = 3, 6
 
 
+#: Sources of a group that are compared at once.
+BLOCK = 512
+
+
 def equal_runs(history: DataFrame, source: str, period: str, match: list[str], least: int = SUSPICIOUS) -> DataFrame:
     """Pairs of sources with equal match columns over consecutive periods: the longest run, the newest of equals.
 
-    Sources meet on the match columns of least consecutive periods at once, so only pairs that have a run of that
-    length meet at all, and a common value alone brings nobody together. Then gaps and islands per pair. start is the
-    newest period of the run, end the oldest.
+    history has one row of a source and period at most; match columns are scalars. Sources meet on the match columns of
+    least consecutive periods at once, so only pairs that have a run of that length meet at all. They bring their whole
+    history: a group is cut into blocks, every two blocks are compared by one task, and a pair is told where its first run
+    begins, so that no pair is shuffled. start is the newest period of the run, end the oldest.
     """
+    kinds = dict(history.dtypes)
+    known = history.where(F.col(source).isNotNull() & F.col(period).isNotNull())
     for c in match:
-        history = history.where(F.col(c).isNotNull())
-    w = W.partitionBy(source).orderBy(period)
-    value = F.struct(*match)
-    follows = F.lit(True)
-    for k in range(1, least):
-        follows = follows & F.coalesce(F.lead(period, k).over(w) == F.col(period) + k, F.lit(False))
-    keyed = history.select(source, period, F.xxhash64(value, *[F.lead(value, k).over(w) for k in range(1, least)]).alias("_h"), follows.alias("_full"),
-                           F.array(value, *[F.lead(value, k).over(w) for k in range(1, least)]).alias("_v")).where("_full")
-    a = keyed.select(F.col(source).alias("first"), period, "_h", "_v")
-    b = keyed.select(F.col(source).alias("second"), period, "_h", F.col("_v").alias("_u"))
-    pairs = a.join(b, [period, "_h"]).where((F.col("first") < F.col("second")) & (F.col("_v") == F.col("_u")))
-    island = F.col(period) - F.row_number().over(W.partitionBy("first", "second").orderBy(period))
-    runs = pairs.select("first", "second", period, island.alias("_island")).groupBy("first", "second", "_island").agg(
-        (F.count("*") + (least - 1)).alias("consecutive"), (F.max(period) + (least - 1)).alias("start"), F.min(period).alias("end"))
-    best = runs.groupBy("first", "second").agg(F.max(F.struct("consecutive", "start", "end")).alias("r"))
-    return best.select(
-        "first", "second", "r.consecutive", "r.start", "r.end",
-        F.when(F.col("r.consecutive") >= DUPLICATE, "duplicate").otherwise("suspicious").alias("classification"))
+        known = known.where(F.col(c).isNotNull())
+    held = [(F.col(c) + F.lit(0.0)).cast(kinds[c]) if kinds[c] in ("float", "double") else F.col(c) for c in match]  # one zero
+    names = [f"m{k}" for k in range(len(match))]
+    per = known.groupBy(F.col(source).alias("source")).agg(F.array_sort(F.collect_list(F.struct(F.col(period).alias("p"), *[c.alias(n) for c, n in zip(held, names)]))).alias("l"))
+    whole = lambda i: F.get("l", i + (least - 1))["p"] - F.get("l", i)["p"] == least - 1
+    per = per.where(F.size("l") >= least).select("source", "l", F.explode(F.filter(F.sequence(F.lit(0), F.size("l") - least), whole)).alias("i"))
+    run = F.transform(F.slice("l", F.col("i") + 1, least), lambda x: x.dropFields("p"))
+    keyed = per.select("source", F.get("l", F.col("i"))["p"].alias("at"), F.xxhash64(run).alias("h"), F.col("l.p").alias("p"), *[F.col(f"l.{n}").alias(n) for n in names])
+    w = W.partitionBy("at", "h")
+    met = keyed.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy("source")) - 1).where("n > 1")
+    block, last = F.floor(F.col("place") / BLOCK), F.floor((F.col("n") - 1) / BLOCK)
+    tiles = met.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    tiles = tiles.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("n", "other")
+    of = kinds[source]
+    found = tiles.groupBy("at", "h", "x", "y").applyInArrow(_longest(names, least), f"first {of}, second {of}, consecutive long, start long, end long")
+    return found.select(
+        "first", "second", "consecutive", F.col("start").cast(kinds[period]).alias("start"), F.col("end").cast(kinds[period]).alias("end"),
+        F.when(F.col("consecutive") >= DUPLICATE, "duplicate").otherwise("suspicious").alias("classification"))
+
+
+def _longest(names: list[str], least: int):
+    """Of a tile the pairs whose first run begins at the tile's period, each with its longest run, the newest of equals."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.sort_by("place").combine_chunks()
+        flat = lambda c: pc.list_flatten(t[c]).combine_chunks()
+        periods = flat("p").to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(t)), pc.list_value_length(t["p"]).to_numpy())
+        axis, column = np.unique(periods, return_inverse=True)
+        code = np.zeros(len(periods), np.int64)
+        for n in names:
+            value = flat(n).dictionary_encode()
+            _, code = np.unique(code * len(value.dictionary) + value.indices.to_numpy(), return_inverse=True)
+        values = np.full((len(axis), len(t)), -1, np.int32)
+        values[column, row] = code
+        block = t["block"].to_numpy()
+        left, right = np.flatnonzero(block == t["x"][0].as_py()), np.flatnonzero(block == t["y"][0].as_py())
+        shape, kind = (len(left), len(right)), np.int16 if len(axis) < 1 << 15 else np.int32
+        length, best, end, first = (np.zeros(shape, kind) for _ in range(4))  # end and first: places of the axis, from 1
+        for k, own in enumerate(values):
+            a, b = own[left][:, None], own[right][None, :]
+            if k and axis[k] != axis[k - 1] + 1:
+                length[:] = 0
+            length += 1
+            length *= (a == b) & (a >= 0)
+            first[(length == least) & (first == 0)] = k + 1
+            newer = (length >= least) & (length >= best)
+            np.copyto(best, length, where=newer)
+            np.copyto(end, kind(k + 1), where=newer)
+        begins = int(np.searchsorted(axis, t["at"][0].as_py())) + least
+        told = first == begins
+        if t["x"][0] == t["y"][0]:
+            told &= np.arange(shape[0])[:, None] < np.arange(shape[1])[None, :]
+        i, j = np.nonzero(told)
+        n, newest = best[i, j].astype(np.int64), axis[end[i, j] - 1]
+        who = t["source"].combine_chunks()
+        return pa.table({"first": who.take(pa.array(left[i])), "second": who.take(pa.array(right[j])), "consecutive": n, "start": newest, "end": newest - n + 1})
+
+    return compare
 
 
 def _unions(n: int, least: int) -> dict[tuple[int, ...], int]:
