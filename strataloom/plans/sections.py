@@ -21,8 +21,11 @@ LONG = "甲栏目很好 甲栏目更好，看下面这些很长很长的说明
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, nth, period, value, result) of all events, the periods going down from 365."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
+    """(user_id, nth, period, value, result) of all events, the periods going down from 365.
+
+    Events are few bytes for the work on the pages made of them, so partitions are not joined by their size.
+    """
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("l"))
     e = e.select("user_id", F.posexplode("l").alias("nth", "event_id"))
     symbol = lambda k: F.substring(F.lit(SYMBOLS), (k + 1).cast("int"), F.lit(1))
     a = F.col("user_id") % 12
