@@ -7,9 +7,10 @@ then those before it, backwards.
 
 1. Distinguishing prefixes: the gram hashes of all anchors, 40 bits or more each, go to buckets as arrays; only
    those that two documents share come back. Other suffixes cannot repeat and are never sorted.
-2. Runs: each task sorts the keys of its documents that are left, merges equal keys, front-codes them and
-   sends every reducer its part of the run. Text copied within a run is sent once, so a passage that very many
-   documents share is one key per run.
+2. Runs: the texts are written once, in runs of RUN_BYTES and in buckets by run, and do not move again: all
+   that later steps find out is joined to them by the run. Each run sorts the keys of its documents that are
+   left, merges equal keys, front-codes them and sends every reducer its part. Text copied within a run is
+   sent once, so a passage that very many documents share is one key per run.
 3. Reducers merge their runs with a loser tree that keeps the common prefix of each candidate with the last
    key put out and never compares known prefixes again. Two keys share a string of LENGTH bytes if they agree
    on enough bytes on both sides of the anchor; the smallest document of every string goes back to the runs.
@@ -19,8 +20,6 @@ then those before it, backwards.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import textkit as tk
-from strataloom.llm.common import written
+from strataloom.llm.common import bucketed, drop_written, written
 
 LENGTH = 50
 GRAM = 16
@@ -39,6 +38,8 @@ LEFT, N_LEFT, N_STRINGS, KEY = LENGTH + 1, LENGTH + SPAN, LENGTH + SPAN + 1, 8 *
 RUN_BYTES = 1 << 22
 KEYS_PER_REDUCER = 60_000
 ANCHORS_PER_BUCKET = 4_000_000
+#: Spark writes no table in more buckets.
+MOST_FILES = 100_000
 
 
 def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -67,13 +68,51 @@ def anchors(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return doc[head], start[head], np.diff(np.append(head, len(start))), at[head], gram[at[head]]
 
 
-def _bucket_rows(n_buckets: int):
-    """Texts -> (bucket, ids, owner, hashes): all anchors of a slice, dealt by hash."""
+def _texts():
+    """Texts -> runs of RUN_BYTES of them or a little more."""
+
+    def one(run: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([run]), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.binary()))], names=["run", "ids", "texts"])
 
     def run(batches):
+        part, n, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
-            ids = b.column("id").to_numpy()
-            for i, j, buf, offs in tk.byte_slices(b.column("text")):
+            for k, text in zip(b.column("id").to_pylist(), b.column("text")):
+                ids.append(k)
+                texts.append(text.as_py())
+                size += len(texts[-1])
+                if size >= RUN_BYTES:
+                    yield one((part << 32) + n, ids, texts)
+                    ids, texts, size, n = [], [], 0, n + 1
+        if ids:
+            yield one((part << 32) + n, ids, texts)
+
+    return run
+
+
+def _rows(batches):
+    """Every row of some batches, as Arrow scalars by name."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield {name: b.column(i)[k] for i, name in enumerate(b.schema.names)}
+
+
+def _taking_part(row: dict) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(places, ids, texts) of the documents of a run that have an id and are no whole copies."""
+    own = np.array([k is not None for k in row["ids"].as_py()], dtype=bool)
+    if "copies" in row:
+        own[row["copies"].as_py() or []] = False
+    places = np.flatnonzero(own)
+    return places, row["ids"].values.take(pa.array(places)).to_numpy(), row["texts"].values.take(pa.array(places))
+
+
+def _bucket_rows(n_buckets: int):
+    """Runs of texts -> (bucket, run, ids, owner, hashes): all anchors of a slice, dealt by hash."""
+
+    def run(batches):
+        for row in _rows(batches):
+            _, ids, texts = _taking_part(row)
+            for i, j, buf, offs in tk.byte_slices(texts):
                 doc, _, _, _, h = anchors(buf, offs)
                 bucket = (h % np.uint64(n_buckets)).astype(np.int64)
                 rest = (h // np.uint64(n_buckets) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -86,28 +125,34 @@ def _bucket_rows(n_buckets: int):
                     docs, owner = np.unique(doc[own], return_inverse=True)
                     for c, v in zip(cols, (ids[i:j][docs], owner.astype(np.uint32), rest[own])):
                         c.append(v.tobytes())
-                yield pa.record_batch([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["bucket", "ids", "owner", "hashes"])
+                yield pa.record_batch(
+                    [pa.array(full, pa.int32()), pa.array([row["run"].as_py()] * len(full), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)],
+                    names=["bucket", "run", "ids", "owner", "hashes"])
 
     return run
 
 
 def _shared(t: pa.Table) -> pa.Table:
-    """One bucket -> per document the hashes that another document has too."""
+    """One bucket -> per run the hashes that two documents of any runs have, each once, and of how many anchors they are."""
     ids = [np.frombuffer(x, np.int64) for x in t["ids"].to_pylist()]
     owner = np.concatenate([d[np.frombuffer(o, np.uint32)] for d, o in zip(ids, t["owner"].to_pylist())])
-    h = np.frombuffer(b"".join(t["hashes"].to_pylist()), np.uint32)
+    parts = t["hashes"].to_pylist()
+    runs, of = np.unique(t["run"].to_numpy(), return_inverse=True)
+    run = np.repeat(of, [len(x) // 4 for x in parts])
+    h = np.frombuffer(b"".join(parts), np.uint32)
     order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
-    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    last = np.append(edge[1:], len(h)) - 1
+    h, owner, run = h[order], owner[order], run[order]
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    last = (np.append(edge[1:], len(h)) - 1)[: len(edge)]
     twice = np.repeat(owner[edge] != owner[last], np.diff(np.append(edge, len(h))))
-    h, owner = h[twice], owner[twice]
-    order = np.argsort(owner, kind="stable")
-    h, owner = h[order], owner[order]
-    docs, first = np.unique(owner, return_index=True)
+    both, n = np.unique(run[twice].astype(np.uint64) << np.uint64(32) | h[twice], return_counts=True)
+    run, h = (both >> np.uint64(32)).astype(np.int64), both.astype(np.uint32)
+    found, first = np.unique(run, return_index=True)
+    edge = np.append(first, len(h))
     return pa.table({
-        "id": pa.array(docs, pa.int64()), "bucket": pa.array([t["bucket"][0].as_py()] * len(docs), pa.int32()),
-        "hashes": pa.array([h[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(h)))], pa.binary())})
+        "run": pa.array(runs[found], pa.int64()), "bucket": pa.array([t["bucket"][0].as_py()] * len(found), pa.int32()),
+        "anchors": pa.array([int(n[a:b].sum()) for a, b in zip(edge[:-1], edge[1:])], pa.int64()),
+        "hashes": pa.array([h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary())})
 
 
 def _keys(buf, start, strings, at) -> np.ndarray:
@@ -160,6 +205,19 @@ def front_decoded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return key[above, np.arange(KEY)[None, :]], lcp
 
 
+def packed(*parts: bytes) -> bytes:
+    """Some byte strings as one, compressed: their number and lengths, and what zstd makes of them."""
+    head = np.array([len(parts), *map(len, parts)], "<u4").tobytes()
+    return head + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> list[bytes]:
+    n = int.from_bytes(raw[:4], "little")
+    edge = np.cumsum([0, *np.frombuffer(raw, "<u4", n, 4).tolist()]).tolist()
+    body = pa.decompress(raw[4 + 4 * n :], edge[-1], codec="zstd", asbytes=True)
+    return [body[a:b] for a, b in zip(edge[:-1], edge[1:])]
+
+
 def merged(runs: list[tuple[list[bytes], list[int]]]) -> list[tuple[int, int]]:
     """(run, place) in the order of the keys, by a loser tree over sorted runs with their common prefixes.
 
@@ -220,10 +278,11 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> list[tuple[int, int]]:
 def _answer(t: pa.Table) -> pa.Table:
     """One reducer: its parts of all runs -> per run (key, first and last distance to the anchor, smallest document)."""
     run_ids = t["run"].to_pylist()
-    decoded = [front_decoded(x) for x in t["keys"].to_pylist()]
-    least = [np.frombuffer(x, np.int64) for x in t["least"].to_pylist()]
-    many = [np.frombuffer(x, np.bool_) for x in t["many"].to_pylist()]
-    number = [np.frombuffer(x, np.int32) for x in t["number"].to_pylist()]
+    bodies = [unpacked(x) for x in t["body"].to_pylist()]
+    decoded = [front_decoded(x) for x, _, _ in bodies]
+    least = [np.frombuffer(x, np.int64) for _, x, _ in bodies]
+    many = [np.frombuffer(x, np.bool_) for _, _, x in bodies]
+    number = [np.arange(n, n + len(x), dtype=np.int32) for n, x in zip(t["number"].to_pylist(), least)]
     order = np.array(merged([([r.tobytes() for r in key], lcp.tolist()) for key, lcp in decoded]))
     base = np.cumsum([0, *(len(k) for k, _ in decoded)])
     row = base[order[:, 0]] + order[:, 1]
@@ -268,25 +327,23 @@ def _answer(t: pa.Table) -> pa.Table:
     return pa.table({n: pa.array([o[i] for o in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
 
-PART = "array<struct<reducer:int,keys:binary,least:binary,many:binary,number:binary>>"
-RUNS = f"run long, ids array<long>, texts array<binary>, member_key binary, member_doc binary, member_at binary, parts {PART}"
-ARROW_PART = pa.list_(pa.struct([("reducer", pa.int32()), *[(n, pa.binary()) for n in ("keys", "least", "many", "number")]]))
+RUNS = "run long, member_new binary, member_at binary, parts array<struct<reducer:int,number:int,body:binary>>"
+ARROW_PART = pa.list_(pa.struct([("reducer", pa.int32()), ("number", pa.int32()), ("body", pa.binary())]))
 
 
 def _runs(n_buckets: int, n_reducers: int):
-    """(id, text, bucket hashes) -> sorted runs with their documents."""
-
-    def one(run: int, rows: list[tuple[int, bytes, list]]) -> pa.RecordBatch:
-        ids = np.array([r[0] for r in rows], np.int64)
-        buf = np.frombuffer(b"".join(r[1] for r in rows), np.uint8)
-        offs = np.cumsum([0, *(len(r[1]) for r in rows)])
-        found = [
-            tuple(c + x for c, x in zip(anchors(b, o), (i, offs[i], 0, offs[i], np.uint64(0))))
-            for i, _, b, o in tk.byte_slices(pa.array([r[1] for r in rows], pa.large_binary()))]
-        doc, start, strings, at, h = (np.concatenate(c) for c in zip(*found))
+    """(run, ids, texts, bucket hashes, copies) -> sorted runs: where each key begins, where its anchors are, and the part of every reducer."""
+
+    def one(row: dict) -> pa.RecordBatch:
+        _, ids, texts = _taking_part(row)
+        sizes = np.array([len(x) for x in texts.to_pylist()], np.int64)
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        buf = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+        found = [tuple(c + x for c, x in zip(anchors(b, o), (i, offs[i], 0, offs[i], np.uint64(0)))) for i, _, b, o in tk.byte_slices(texts)]
+        doc, start, strings, at, h = (np.concatenate(c) for c in zip(*found)) if found else anchors(buf, offs)
         bucket, rest = (h % np.uint64(n_buckets)).astype(np.uint64), h // np.uint64(n_buckets) & np.uint64(0xFFFFFFFF)
-        want = np.concatenate([np.uint64(s["bucket"]) << np.uint64(32) | np.frombuffer(s["hashes"], np.uint32) for r in rows for s in r[2]])
-        keep = np.flatnonzero(np.isin(bucket << np.uint64(32) | rest, want))
+        want = [np.uint64(s["bucket"]) << np.uint64(32) | np.frombuffer(s["hashes"], np.uint32) for s in row["shared"].as_py()]
+        keep = np.flatnonzero(np.isin(bucket << np.uint64(32) | rest, np.concatenate(want)))
         doc, at, h = doc[keep], at[keep], h[keep]
         key = _keys(buf, start[keep], strings[keep], at)
         reducer = (tk.mix(h) % np.uint64(n_reducers)).astype(np.int64)
@@ -295,65 +352,70 @@ def _runs(n_buckets: int, n_reducers: int):
         key, doc, at, reducer = key[order], doc[order], at[order], reducer[order]
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]).any(axis=1)
-        number = np.cumsum(new) - 1
         head = np.flatnonzero(new)
         least = np.minimum.reduceat(ids[doc], head) if len(head) else np.zeros(0, np.int64)
         many = (np.maximum.reduceat(ids[doc], head) if len(head) else least) != least
         edge = np.searchsorted(reducer[head], np.arange(n_reducers + 1))
-        parts = [
-            {"reducer": q, "keys": front_coded(key[head[edge[q] : edge[q + 1]]]), "least": least[edge[q] : edge[q + 1]].tobytes(),
-             "many": many[edge[q] : edge[q + 1]].tobytes(), "number": np.arange(edge[q], edge[q + 1], dtype=np.int32).tobytes()}
-            for q in np.flatnonzero(np.diff(edge)).tolist()]
+        parts = []
+        for q in np.flatnonzero(np.diff(edge)).tolist():
+            a, b = int(edge[q]), int(edge[q + 1])
+            parts.append({"reducer": q, "number": a, "body": packed(front_coded(key[head[a:b]]), least[a:b].tobytes(), many[a:b].tobytes())})
         return pa.record_batch(
-            [pa.array([run]), pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([[r[1] for r in rows]], pa.list_(pa.binary())),
-             *(pa.array([x.tobytes()], pa.binary()) for x in (number.astype(np.int32), doc.astype(np.int32), at.astype(np.int64))),
-             pa.array([parts], ARROW_PART)],
-            names=[x.split()[0] for x in RUNS.split(f" {PART}")[0].split(", ")])
+            [pa.array([row["run"].as_py()]), pa.array([new.tobytes()], pa.binary()), pa.array([at.astype(np.uint32).tobytes()], pa.binary()), pa.array([parts], ARROW_PART)],
+            names=["run", "member_new", "member_at", "parts"])
 
     def run(batches):
-        part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for b in batches:
-            for k, text, shared in zip(b.column("id").to_pylist(), b.column("text"), b.column("shared").to_pylist()):
-                held.append((k, text.as_py(), shared))
-                size += len(held[-1][1])
-                if size >= RUN_BYTES:
-                    yield one((part << 32) + n, held)
-                    held, size, n = [], 0, n + 1
-        if held:
-            yield one((part << 32) + n, held)
+        for row in _rows(batches):
+            yield one(row)
 
     return run
 
 
+def _gone(row: dict, ids: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Which bytes the answers of a run remove."""
+    step = np.zeros(offs[-1] + 1, np.int32)
+    answers = row["answers"].as_py() or []
+    if answers:
+        number = np.cumsum(np.frombuffer(row["member_new"].as_py(), np.bool_)) - 1
+        at = np.frombuffer(row["member_at"].as_py(), np.uint32).astype(np.int64)
+        doc = np.searchsorted(offs, at, side="right") - 1
+    for a in answers:
+        key, first, last, low = (np.frombuffer(a[c], t) for c, t in (("number", np.int32), ("first", np.uint8), ("last", np.uint8), ("low", np.int64)))
+        lo, hi = np.searchsorted(number, key), np.searchsorted(number, key, side="right")
+        each = np.repeat(np.arange(len(key)), hi - lo)
+        member = np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]
+        later = ids[doc[member]] > low[each]
+        member, each = member[later], each[later]
+        np.add.at(step, at[member] - last[each], 1)
+        np.add.at(step, at[member] - first[each] + LENGTH, -1)
+    return np.cumsum(step[:-1], dtype=np.int32) > 0
+
+
 def _removed(batches):
     """Runs with their answers -> (id, n_bytes, n_removed, n_spans, kept)."""
-    for b in batches:
-        for k in range(b.num_rows):
-            ids = np.array(b.column("ids")[k].as_py(), np.int64)
-            texts = b.column("texts")[k].as_py()
-            offs = np.cumsum([0, *map(len, texts)])
-            buf = np.frombuffer(b"".join(texts), np.uint8)
-            number, doc, at = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in (("member_key", np.int32), ("member_doc", np.int32), ("member_at", np.int64)))
-            step = np.zeros(len(buf) + 1, np.int32)
-            for a in b.column("answers")[k].as_py() or []:
-                key, first, last, low = (np.frombuffer(a[c], t) for c, t in (("number", np.int32), ("first", np.uint8), ("last", np.uint8), ("low", np.int64)))
-                lo, hi = np.searchsorted(number, key), np.searchsorted(number, key, side="right")
-                each = np.repeat(np.arange(len(key)), hi - lo)
-                member = np.arange(len(each)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[each]
-                later = ids[doc[member]] > low[each]
-                member, each = member[later], each[later]
-                np.add.at(step, at[member] - last[each], 1)
-                np.add.at(step, at[member] - first[each] + LENGTH, -1)
-            gone = np.cumsum(step[:-1], dtype=np.int32) > 0
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            inner = offs[:-1][np.diff(offs) > 0]
-            begins[inner] = gone[inner]
-            count = [np.concatenate([[0], np.cumsum(x)])[offs] for x in (gone, begins)]
-            yield pa.record_batch(
-                [pa.array(ids), pa.array(np.diff(offs)), *(pa.array(np.diff(c)) for c in count),
-                 pa.array([buf[x:y][~gone[x:y]].tobytes() for x, y in zip(offs[:-1], offs[1:])], pa.binary())],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+    for row in _rows(batches):
+        places, ids, texts = _taking_part(row)
+        own = texts.to_pylist()
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)])
+        buf = np.frombuffer(b"".join(own), np.uint8)
+        gone = _gone(row, ids, offs)
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        inner = offs[:-1][np.diff(offs) > 0]
+        begins[inner] = gone[inner]
+        kept = row["texts"].as_py()
+        n_bytes = np.array([len(x) for x in kept], np.int64)
+        count = np.zeros((2, len(kept)), np.int64)
+        for k in row["copies"].as_py() or []:
+            count[:, k], kept[k] = (n_bytes[k], 1), b""
+        for c, x in zip(count, (gone, begins)):
+            c[places] = np.diff(np.concatenate([[0], np.cumsum(x)])[offs])
+        for k, x, y in zip(places.tolist(), offs[:-1].tolist(), offs[1:].tolist()):
+            if count[0, k]:
+                kept[k] = buf[x:y][~gone[x:y]].tobytes()
+        yield pa.record_batch(
+            [pa.array(row["ids"].as_py(), pa.int64()), *(pa.array(c) for c in (n_bytes, *count)), pa.array(kept, pa.binary())],
+            names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -366,37 +428,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     sized = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n_buckets = max(16, int(2 * sized / (SPAN + 1) / ANCHORS_PER_BUCKET) + 1)
-    digests = written(rows.select("id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "repeats-digests")
-    long = digests.where(f"n_bytes >= {LENGTH} and id is not null")
-    firsts = long.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    copies = long.join(firsts, "sha").where("id > first").groupBy("id").agg(F.collect_set("sha").alias("copies"))
-    shared = rows.where("id is not null").mapInArrow(_bucket_rows(n_buckets), "bucket int, ids binary, owner binary, hashes binary")
-    shared = shared.groupBy("bucket").applyInArrow(_shared, "id long, bucket int, hashes binary")
-    shared = shared.groupBy("id").agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared"))
-    info = written(shared.join(copies, "id", "full"), "repeats-info")
-    n_shared = info.agg(F.sum(F.expr("aggregate(shared, 0L, (n, s) -> n + length(s.hashes))")).alias("n")).first()["n"] or 0
-    n_reducers = max(12, n_shared // 4 // KEYS_PER_REDUCER + 1)
-    # whole copies go; texts that share no anchor stay; the others make up the runs
-    copy = F.coalesce(F.array_contains("copies", F.col("sha")), F.lit(False))
-    held = rows.join(info, "id").where("shared is not null").withColumn("sha", F.sha2("text", 256)).where(~copy)
-    runs = written(held.select("id", "text", "shared").mapInArrow(_runs(n_buckets, n_reducers), RUNS), "repeats-runs")
+    # with fewer buckets than an exchange has partitions Spark would deal out the texts, too
+    n_files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(sized // (2 * RUN_BYTES) + 1, MOST_FILES))
+    texts = bucketed(rows.mapInArrow(_texts(), "run long, ids array<long>, texts array<binary>"), "repeats-texts", "run", n_files)
+    each = texts.select("run", F.posexplode(F.arrays_zip("ids", "texts")).alias("place", "d")).select("run", "place", F.col("d.ids").alias("id"), F.col("d.texts").alias("text"))
+    long = each.where(f"octet_length(text) >= {LENGTH} and id is not null").select("run", "place", "id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    digests = written(long, "repeats-digests")
+    firsts = digests.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    copies = digests.join(firsts, "sha").where("id > first").groupBy("run").agg(F.collect_list("place").alias("copies"))
+    copies = written(copies, "repeats-copies")
+    drop_written(digests)
+    shared = texts.mapInArrow(_bucket_rows(n_buckets), "bucket int, run long, ids binary, owner binary, hashes binary")
+    shared = written(shared.groupBy("bucket").applyInArrow(_shared, "run long, bucket int, anchors long, hashes binary"), "repeats-shared")
+    n_reducers = max(12, (shared.agg(F.sum("anchors").alias("n")).first()["n"] or 0) // KEYS_PER_REDUCER + 1)
+    # whole copies go; runs that share no anchor stay as they are
+    held = texts.join(shared.repartition(n_files, "run").groupBy("run").agg(F.collect_list(F.struct("bucket", "hashes")).alias("shared")), "run").join(copies, "run", "left")
+    runs = bucketed(held.mapInArrow(_runs(n_buckets, n_reducers), RUNS), "repeats-runs", "run", n_files)
+    drop_written(shared)
     parts = runs.select("run", F.explode("parts").alias("p")).select("run", "p.*")
     answers = parts.groupBy("reducer").applyInArrow(_answer, "run long, number binary, first binary, last binary, low binary")
     answers = written(answers, "repeats-answers")
-    answers = answers.groupBy("run").agg(F.collect_list(F.struct("number", "first", "last", "low")).alias("answers"))
-    cut = runs.drop("parts").join(answers, "run", "left")
+    answers = answers.repartition(n_files, "run").groupBy("run").agg(F.collect_list(F.struct("number", "first", "last", "low")).alias("answers"))
+    cut = texts.join(runs.drop("parts"), "run", "left").join(answers, "run", "left").join(copies, "run", "left")
     cut = cut.mapInArrow(_removed, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     cut = cut.select("id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), *(["kept"] if keep_text else []))
-    same = digests.join(info.select("id", "copies", F.col("shared").isNotNull().alias("has")), "id", "left").withColumn("copy", copy)
-    same = same.where(F.col("copy") | ~F.coalesce("has", F.lit(False)))
-    if keep_text:
-        texts = rows.select(F.col("id").alias("_id"), F.col("text").alias("kept"), F.sha2("text", 256).alias("_sha")).distinct()
-        same = same.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
-    nothing = F.lit(0).cast("long")
-    same = same.select(
-        "id", "n_bytes", F.when(F.col("copy"), F.col("n_bytes")).otherwise(nothing).alias("n_removed"),
-        F.when(F.col("copy"), 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(F.col("copy"), F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("sha")).alias("kept_sha256"),
-        *([F.when(F.col("copy"), F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_text else []))
-    out = cut.unionByName(same)
-    return out.withColumnRenamed("id", id_col)
+    return cut.withColumnRenamed("id", id_col)

@@ -66,3 +66,23 @@ def test_texts_kept(odd):
 
 def test_empty_table(none):
     assert suffix_dedup.remove_repeats(none).collect() == []
+
+
+def test_texts_do_not_move(spark, odd):
+    """The shuffles of whole texts filled the disk: no exchange may stand above them."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = suffix_dedup.remove_repeats(odd)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in plan]
+    moved = set()
+    for i, line in enumerate(plan):
+        if line.lstrip(" :+-").startswith("Exchange"):
+            j = i + 1
+            while j < len(plan) and depth[j] > depth[i]:
+                moved.add(plan[j])
+                j += 1
+    assert moved and not [x for x in moved if "texts" in x]
+    assert [x for x in plan if "Scan" in x and "texts" in x]
