@@ -20,7 +20,7 @@ from strataloom.sources.scratch import dropped, written
 
 #: Documents of a source, documents that one document leads to, and levels of frames below a page.
 MOST, NESTED, LEVELS = 96, 12, 3
-#: Pages of a listing.
+#: Pages of a listing, unless its caller has other limits or none.
 LISTING_PAGES = 32
 FRAME = r"""(?i)<iframe[^>]+src=["']([^"']+)["']"""
 SCRIPT = r"""(?i)<script[^>]+src=["']([^"']+)["']"""
@@ -104,52 +104,70 @@ def listing_links(text: Column) -> Column:
     return F.filter(both, lambda x: ~x["href"].isin("", "#"))
 
 
-def listing(sources: DataFrame, captured: DataFrame, markers: list[str], most: int = LISTING_PAGES) -> tuple[DataFrame, DataFrame]:
+def _dealt(table: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled: addresses are so few bytes in a file that Spark would send very many of them to every executor."""
+    return table.hint("merge")
+
+
+def chains(starts: DataFrame, following: DataFrame, most: int | None = None) -> DataFrame:
+    """source, url, page: the addresses that a source's chain reads, each once and numbered from 1; with most, those up to it and one beyond at least.
+
+    starts: source, url. following: url, next; an address once, next is null where a chain ends. A round leads twice as far as the
+    one before, so a chain of n pages takes log2(n) rounds; only sources whose last round has found new addresses all through go on.
+    """
+    every, ahead, span, made = written(starts.select("source", "url", F.lit(1).alias("page")), "listing-chain"), following.where("next is not null"), 1, []
+    going = every.select("source")
+    while most is None or span <= most:
+        here = every.join(_dealt(going), "source", "left_semi").join(_dealt(ahead), "url")
+        new = here.groupBy("source", F.col("next").alias("url")).agg(F.min(F.col("page") + span).alias("page")).join(_dealt(every), ["source", "url"], "left_anti")
+        new = written(new.select(*every.columns), "listing-chain")
+        every, going, span = every.unionByName(new), new.where(F.col("page") == 2 * span).select("source"), 2 * span
+        if going.isEmpty():
+            break
+        then = ahead.select(F.col("url").alias("next"), F.col("next").alias("_then"))
+        ahead = written(ahead.join(_dealt(then), "next").select("url", F.col("_then").alias("next")), "listing-ahead")
+        made.append(ahead)
+    dropped(*made)
+    return every
+
+
+def listing(sources: DataFrame, captured: DataFrame, markers: list[str], most: int | None = LISTING_PAGES) -> tuple[DataFrame, DataFrame]:
     """(entries, listings) of listings whose pages lead from one to the next. entries: source, place, page, period, url, title.
 
     sources: source, url, title (a pattern, or empty), name, keywords. The chain of a source goes on with a page's first
     link that is named NEXT and stays on the listing's own path; it ends at an address that the source has read already.
     An entry is a link whose title names a period and is the source's (listing_matches()); of one address the first
-    counts. listings: source, n_pages, status: ok, too_long where the chain goes on after most pages, or lost where a
-    page of it is not captured; entries of a listing that is not ok are left out.
+    counts. listings: source, n_pages, status: ok, too_long where the chain goes on after most pages (never where most is
+    None), or lost where a page of it is not captured; entries of a listing that is not ok are left out.
     """
-    pages = captured.where(F.coalesce("text", F.lit("")) != "").select(F.col("url").alias("_url"), "text")
-    rules = sources.select("source", "title", "name", "keywords")
-    level = sources.select("source", "url")
-    seen, every, ends, made = level.limit(0), None, [], []
-    for number in range(1, most + 1):
-        here = level.join(pages, F.col("url") == F.col("_url"), "left").drop("_url")
-        here = here.withColumn("links", listing_links(F.col("text")))  # a column, as what is named often would be computed as often
-        same = lambda u: (F.lower(urls.authority(u)) == F.lower(urls.authority(F.col("url")))) & (F.lower(urls.path(u)) == F.lower(urls.path(F.col("url"))))
-        further = F.filter(F.transform(F.filter("links", lambda x: F.contains(x["title"], F.lit(NEXT))), lambda x: urls.resolved(F.col("url"), x["href"])), same)
-        here = here.withColumn("next", F.get(further, F.lit(0)))
-        page = written(here.select("source", "url", F.lit(number).alias("page"), F.col("text").isNull().alias("lost"), "links", urls.without_fragment(F.col("next")).alias("next")), "listing-page")
-        made.append(page)
-        every = page if every is None else every.unionByName(page)
-        seen = seen.unionByName(page.select("source", "url"))
-        level = page.where("next is not null").select("source", F.col("next").alias("url")).join(seen, ["source", "url"], "left_anti")
-        if level.isEmpty():
-            break
-    else:
-        ends = [level.select("source").withColumn("_long", F.lit(True))]
-    found = every.groupBy("source").agg(F.count("*").alias("n_pages"), F.bool_or("lost").alias("_lost"))
-    found = found.join(ends[0], "source", "left") if ends else found.withColumn("_long", F.lit(None).cast("boolean"))
+    pages = captured.where(F.coalesce("text", F.lit("")) != "").select("url", listing_links(F.col("text")).alias("links"))  # a column, as what is named often would be computed as often
+    same = lambda u: (F.lower(urls.authority(u)) == F.lower(urls.authority(F.col("url")))) & (F.lower(urls.path(u)) == F.lower(urls.path(F.col("url"))))
+    further = F.filter(F.transform(F.filter("links", lambda x: F.contains(x["title"], F.lit(NEXT))), lambda x: urls.resolved(F.col("url"), x["href"])), same)
+    pages = written(pages.select("url", "links", urls.without_fragment(F.get(further, F.lit(0))).alias("next")), "listing-page")
+    following = written(pages.groupBy("url").agg(F.min("next").alias("next")), "listing-next")
+    chain = chains(sources, following, most)
+    within = F.lit(True) if most is None else F.col("page") <= most
+    found = chain.join(_dealt(following.select("url", F.lit(True).alias("_there"))), "url", "left").groupBy("source").agg(
+        F.count_if(within).alias("n_pages"), F.bool_or(within & F.col("_there").isNull()).alias("_lost"), F.bool_or(~within).alias("_long"))
     status = F.when(F.col("_lost"), "lost").when(F.col("_long"), "too_long").otherwise("ok")
     listings = written(found.select("source", "n_pages", status.alias("status")), "listings")
-    rows = every.join(listings.where("status = 'ok'"), "source", "left_semi").select("source", "page", F.col("url").alias("_base"), F.posexplode("links").alias("_nth", "x")).join(rules.withColumnRenamed("title", "_pattern"), "source")
-    rows = rows.select("source", "page", "_nth", urls.without_fragment(urls.resolved(F.col("_base"), F.col("x.href"))).alias("url"), F.col("x.title").alias("title"), "_pattern", "name", "keywords")
-    period = F.regexp_extract("title", r"(?<![0-9])([0-9]{3})\s*期", 1).try_cast("int")
-    rows = rows.withColumn("period", period).where(period.between(1, 365) & pl.listing_matches(F.col("title"), F.col("_pattern"), F.col("name"), F.col("keywords"), markers))
-    first = rows.groupBy("source", "url").agg(F.min(F.struct("page", "_nth", "period", "title")).alias("r")).select("source", "url", "r.*")
+    # what a page's links are by themselves is told before the sources that read the page are known
+    links = pages.select(F.col("url").alias("_base"), F.posexplode("links").alias("_nth", "x"))
+    links = links.select("_base", "_nth", urls.without_fragment(urls.resolved(F.col("_base"), F.col("x.href"))).alias("url"), F.col("x.title").alias("title"))
+    links = links.withColumn("period", F.regexp_extract("title", r"(?<![0-9])([0-9]{3})\s*期", 1).try_cast("int")).where(F.col("period").between(1, 365))
+    rules = sources.select("source", F.col("title").alias("_pattern"), "name", "keywords")
+    own = chain.where(within).join(_dealt(listings.where("status = 'ok'")), "source", "left_semi").join(_dealt(rules), "source").withColumnRenamed("url", "_base")
+    rows = own.join(_dealt(links), "_base").where(pl.listing_matches(F.col("title"), F.col("_pattern"), F.col("name"), F.col("keywords"), markers))
+    first = rows.repartition("source").groupBy("source", "url").agg(F.min(F.struct("page", "_nth", "period", "title")).alias("r")).select("source", "url", "r.*")
     place = F.row_number().over(W.partitionBy("source").orderBy("page", "_nth"))
     entries = written(first.select("source", place.alias("place"), "page", "period", "url", "title"), "listing-entries")
-    dropped(*made)
+    dropped(pages, following, chain)
     return entries, listings
 
 
-def listing_targets(entries: DataFrame, sources: DataFrame, requested: int, size: int = 3) -> DataFrame:
-    """Entries of the requested period among the first (top) or last (bottom) few of their source: the window comes before the period."""
-    e = entries.join(sources.select("source", "pick"), "source")
+def listing_targets(entries: DataFrame, sources: DataFrame, requested: int | list[int], size: int = 3) -> DataFrame:
+    """Entries of the requested periods among the first (top) or last (bottom) few of their source: the window comes before the period."""
+    e = entries.join(_dealt(sources.select("source", "pick")), "source")
     inward = F.when(F.col("pick") == "top", F.col("place")).otherwise(-F.col("place"))
     window = e.withColumn("slot", F.row_number().over(W.partitionBy("source").orderBy(inward))).where(F.col("slot") <= size)
-    return window.where(F.col("period") == requested).select(*entries.columns, "slot")
+    return window.where(F.col("period").isin(requested)).select(*entries.columns, "slot")

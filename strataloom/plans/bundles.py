@@ -214,33 +214,36 @@ def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     Every 6th entry is not the source's, every 10th has no period, every 15th repeats the first address of its page. A
     page leads to the next, the last one back to the first; every 8th user has lost the second page.
     """
-    e = events(spark, sf_dir)
-    per = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("event_id"))).alias("l")).withColumn("l", F.when(F.col("user_id") % 2 == 0, F.reverse("l")).otherwise(F.col("l")))
-    u = F.col("user_id").cast("string")
-    pages = per.withColumn("n", F.ceil(F.size("l") / ENTRIES).cast("int")).withColumn("page", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    own = F.slice("l", (F.col("page") - 1) * ENTRIES + 1, F.lit(ENTRIES))
+    from pyspark.sql import Window as W
+
+    # few bytes for the work on the pages made of them: partitions are not joined by their size
+    e = events(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id").select("user_id", "event_id")
+    e = e.withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy(F.when(F.col("user_id") % 2 == 0, -F.col("event_id")).otherwise(F.col("event_id")))) - 1)
+    e = e.withColumn("n", F.ceil(F.count("*").over(W.partitionBy("user_id")) / ENTRIES).cast("int")).withColumn("page", (F.floor(F.col("i") / ENTRIES) + 1).cast("int"))
+    pages = e.groupBy("user_id", "n", "page").agg(F.array_sort(F.collect_list(F.struct("i", "event_id"))).alias("l"))
+    u, own = F.col("user_id").cast("string"), F.transform("l", lambda x: x["event_id"])
     title = lambda i: F.concat(F.when(i % 10 == 0, F.lit("")).otherwise(F.concat(F.lpad((i % 365 + 1).cast("string"), 3, "0"), F.lit("期"))), F.when(i % 6 == 0, F.lit(" 别站")).otherwise(F.concat(F.lit(" 源"), u, F.lit("站"))), F.lit("<b>绝杀</b>二肖"))
     link = lambda i, h: F.concat(F.lit("<a class=e href='"), h, F.lit("'>"), title(i), F.lit("</a>"))
     body = F.array_join(F.transform(own, lambda i: link(i, F.concat(F.lit("/t/"), F.when(i % 15 == 0, F.get(own, F.lit(0))).otherwise(i).cast("string"), F.lit(".html")))), " ")
     further = F.concat(F.lit("<a href='#'>下一页</a><a href='/other'>下一页</a><a href='?p="), (F.col("page") % F.col("n") + 1).cast("string"), F.lit("'><i>下一页</i></a>"))
     at = lambda k: F.concat(F.lit("https://l.example/list/"), u, F.when(k == 1, F.lit("?p=1")).otherwise(F.concat(F.lit("?p="), k.cast("string"))))
     captured = pages.where(~((F.col("user_id") % 8 == 3) & (F.col("page") == 2))).select(at(F.col("page")).alias("url"), F.concat(body, further).alias("text"))
-    sources = per.select(
+    sources = events(spark, sf_dir).select("user_id").distinct().select(
         F.col("user_id").alias("source"), at(F.lit(1)).alias("url"), F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("源"), u, F.lit("站.*二肖"))).otherwise("").alias("title"), F.concat(F.lit("源"), u, F.lit("站")).alias("name"),
         F.array(F.lit("绝杀")).alias("keywords"), F.when(F.col("user_id") % 4 < 2, "top").otherwise("bottom").alias("pick"))
     return sources, captured
 
 
 def listing_scan(spark, sf_dir):
-    """All entries of the listings that are whole, with the few of them that are in their source's window."""
+    """All entries of the listings of which no page is lost, however many pages they have, with the few of them that are in their source's window."""
     sources, captured = _listings(spark, sf_dir)
-    entries, _ = crawl.listing(sources, captured, ["二肖", "两肖"], most=LONGEST)
-    near = [crawl.listing_targets(entries, sources, p).select("source", "place", "slot") for p in (5, 6, 7)]
-    window = near[0].unionByName(near[1]).unionByName(near[2])
+    entries, _ = crawl.listing(sources, captured, ["二肖", "两肖"], most=None)
+    window = crawl.listing_targets(entries, sources, [5, 6, 7]).select("source", "place", "slot")
     return entries.join(window, ["source", "place"], "left").select("source", "place", "page", "period", "url", "slot")
 
 
 def listing_status(spark, sf_dir):
+    """Pages read of each listing and whether it is whole, where LONGEST pages are read at most."""
     return crawl.listing(*_listings(spark, sf_dir), ["二肖", "两肖"], most=LONGEST)[1]
 
 
@@ -260,10 +263,11 @@ _CRAWL = rf"""
           WHERE t.depth < {crawl.LEVELS} AND (c.i - 1) % {FAN} < {NESTED}),
     o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY depth, path) AS place FROM t),
     d AS (SELECT * FROM o WHERE place <= {MOST})"""
+_TOO_LONG = f"WHEN max(pages) > {LONGEST} THEN 'too_long' "
 _LIST = f"""
     WITH e AS (SELECT user_id AS source, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN user_id % 2 = 0 THEN -event_id ELSE event_id END) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
     p AS (SELECT *, i // {ENTRIES} + 1 AS page, (n + {ENTRIES} - 1) // {ENTRIES} AS pages, first_value(event_id) OVER (PARTITION BY source, i // {ENTRIES} ORDER BY i) AS head FROM e),
-    s AS (SELECT source, max(pages) AS pages, CASE WHEN source % 8 = 3 AND max(pages) >= 2 THEN 'lost' WHEN max(pages) > {LONGEST} THEN 'too_long' ELSE 'ok' END AS status FROM p GROUP BY source),
+    s AS (SELECT source, max(pages) AS pages, CASE WHEN source % 8 = 3 AND max(pages) >= 2 THEN 'lost' {_TOO_LONG}ELSE 'ok' END AS status FROM p GROUP BY source),
     r AS (SELECT p.source, page, i, event_id % 365 + 1 AS period, CASE WHEN event_id % 15 = 0 THEN head ELSE event_id END AS target FROM p JOIN s USING (source)
           WHERE status = 'ok' AND event_id % 6 <> 0 AND event_id % 10 <> 0),
     f AS (SELECT source, target, min(i) AS i, arg_min(page, i) AS page, arg_min(period, i) AS period FROM r GROUP BY ALL),
@@ -280,7 +284,7 @@ ORACLE = {
         SELECT h.host AS source, count(d.i) AS n_documents, count(d.i) > 0 AND NOT coalesce(bool_or((SELECT count(*) FROM c WHERE c.host = d.host AND c.i > 0 AND (c.i - 1) // {FAN} = d.i) >
                (SELECT count(*) FROM d AS x WHERE x.host = d.host AND x.depth > 0 AND x.up = d.i)), false) AS scan_complete
         FROM (SELECT DISTINCT host FROM p) AS h LEFT JOIN d ON d.host = h.host GROUP BY h.host""",
-    "listing_scan": _LIST + """
+    "listing_scan": _LIST.replace(_TOO_LONG, "") + """
         SELECT source, place::INT AS place, page::INT AS page, period::INT AS period, 'https://l.example/t/' || target || '.html' AS url, CASE WHEN slot <= 3 AND period IN (5, 6, 7) THEN slot::INT END AS slot FROM w""",
     "listing_status": _LIST + f" SELECT source, CASE WHEN status = 'lost' THEN 2 ELSE least(pages, {LONGEST}) END AS n_pages, status FROM s",
     "rolling_upsert_full": _history_sql(LAST_DAY + 1, False),

@@ -70,3 +70,23 @@ def test_listing_pages(spark):
     assert entries == [(1, 1, 9, "/t/1"), (2, 1, 8, "/t/2?x=1&y=2"), (3, 2, 8, "/t/5"), (4, 3, 5, "/t/6")]
     assert (status.n_pages, status.status) == (3, "ok") and sorted(slots) == [2, 3]
     assert listing(spark, pages, most=2)[:2] == ([], ("s", 2, "too_long")) and listing(spark, {k: v for k, v in pages.items() if "p=2" not in k})[:2] == ([], ("s", 2, "lost"))
+
+
+def test_listing_without_limit(spark):
+    """Chains that lead far, back to their middle, into nothing or nowhere: all pages once, in order, whatever their number."""
+    page = lambda k, to: f"<a class=x href='/t/{k}'>008期 站 绝杀二肖</a>" + (f"<a class=x href='?p={to}'>下一页</a>" if to is not None else "")
+    chain = lambda n, last: {f"{H}/l" + (f"?p={k}" if k else ""): page(k, k + 1 if k + 1 < n else last) for k in range(n)}
+    every = lambda n: [(k + 1, k + 1, 8, f"/t/{k}") for k in range(n)]
+    for n, last in ((1, None), (2, 1), (16, None), (17, 16), (41, 29)):
+        assert listing(spark, chain(n, last), most=None)[:2] == (every(n), ("s", n, "ok")), (n, last)
+    assert listing(spark, chain(40, 40), most=None)[:2] == ([], ("s", 41, "lost")) and listing(spark, chain(40, 40))[:2] == ([], ("s", 32, "too_long"))
+    assert listing(spark, chain(32, 3))[:2] == (every(32), ("s", 32, "ok")) and listing(spark, {})[:2] == ([], ("s", 1, "lost"))
+
+
+def test_listings_that_share_pages(spark):
+    """Sources that begin at different pages of one cycle each read all of it, from their own page on."""
+    captured = spark.createDataFrame([(f"{H}/l?p={k}", f"<a class=x href='?p={(k + 1) % 5}'>下一页</a>") for k in range(5)], "url string, text string")
+    starts = spark.createDataFrame([("a", f"{H}/l?p=0"), ("b", f"{H}/l?p=3"), ("c", f"{H}/none")], "source string, url string")
+    following = captured.select("url", F.concat(F.lit(f"{H}/l"), F.regexp_extract("text", r"(\?p=\d)", 1)).alias("next"))
+    got = sorted((r.source, r.page, r.url.removeprefix(f"{H}/")) for r in crawl.chains(starts, following).collect())
+    assert got == [(s, n + 1, f"l?p={(at + n) % 5}") for s, at in (("a", 0), ("b", 3)) for n in range(5)] + [("c", 1, "none")]
