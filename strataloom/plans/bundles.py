@@ -218,7 +218,8 @@ def _listings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
     # few bytes for the work on the pages made of them: partitions are not joined by their size
     e = events(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id").select("user_id", "event_id")
-    e = e.withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy(F.when(F.col("user_id") % 2 == 0, -F.col("event_id")).otherwise(F.col("event_id")))) - 1)
+    order = F.when(F.col("user_id") % 2 == 0, -F.col("event_id")).otherwise(F.col("event_id")).asc_nulls_last()
+    e = e.withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy(order)) - 1)
     e = e.withColumn("n", F.ceil(F.count("*").over(W.partitionBy("user_id")) / ENTRIES).cast("int")).withColumn("page", (F.floor(F.col("i") / ENTRIES) + 1).cast("int"))
     pages = e.groupBy("user_id", "n", "page").agg(F.array_sort(F.collect_list(F.struct("i", "event_id"))).alias("l"))
     u, own = F.col("user_id").cast("string"), F.transform("l", lambda x: x["event_id"])
